@@ -6,13 +6,16 @@ content-defined: for each start p, the place q in [p, p + length - gram] whose `
 least (leftmost first).  Equal strings at p and p' have their q at the same distance, the covering
 property that a difference cover gives for ties, with a thirtieth of the places instead of an eighth.
 
-1. Sample every text; the rank of a sample is the hash of its gram.  Samples whose rank occurs once
-   settle all their suffixes: none is repeated.  Counting is pre-aggregated.
-2. For each other sample, its context (the bytes that its suffixes span) goes to the bucket of its
+1. Sample the first copy of every text; the rank of a sample is the hash of its gram.  Samples
+   whose rank occurs once settle all their suffixes: none is repeated.  Ranks that repeat within
+   an Arrow batch are known to be tied there, and send one row to the exchange, not one each.
+2. The context of each tied sample (the bytes that its suffixes span) goes to the bucket of its
    rank.  A task takes its buckets in order, a bounded number of contexts at a time, sorts the
-   suffixes of each by distance and content, and marks all but the first of equal ones.  Ranks of
-   very many samples go by hashes of their strings instead, so that no bucket grows with the input.
+   suffixes of each by distance and content, and marks all but the first of equal ones.  A bucket
+   of over ``hot`` contexts is dealt out anew by hashes of its strings, pre-aggregated.
 3. Marked runs of starts, widened to the bytes they cover, meet their texts, and bytes are removed.
+
+Texts are dealt out once, by their hash; the plan reuses that exchange for all three steps.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 100
-GRAM = 32
-HOT = 20_000
+GRAM = 24
+HOT = 1 << 18
 _C = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 
@@ -76,92 +79,149 @@ def samples(t: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     return h[q], q, np.append(first, n)
 
 
-SAMPLES = "k long, h long, rank long, q int, p int, n int"
+#: Low bits of a rank in flight: alone in its batch, repeated there, or the mark of a repeated one.
+ALONE, REPEATED, MARK = 0, 1, 2
+_LOW = np.int64(3)
 
 
-def _sample(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """k, h (the text's key and hash), rank, q, p, n (n starts from p on) of every sample."""
+def _sampled(t: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rank, q, p = samples(t, length, gram)
+    return rank.view(np.int64) & ~_LOW, q, p
 
-    def run(batches):
-        for b in batches:
-            got = [samples(s.encode(), length, gram) for s in b.column("text").to_pylist()]
-            size = [len(g[1]) for g in got]
-            if not sum(size):
-                continue
-            start = np.concatenate([g[2][:-1] for g in got])
-            count = np.concatenate([np.diff(g[2]) for g in got])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("k", "h")]
-                + [pa.array(np.concatenate([g[0] for g in got]).view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (np.concatenate([g[1] for g in got]), start, count))],
-                names=["k", "h", "rank", "q", "p", "n"],
-            )
 
-    return rows.mapInArrow(run, SAMPLES)
+def _tied(reps: DataFrame, length: int, gram: int) -> DataFrame:
+    """rank, h of the samples whose rank occurs twice or more.
 
+    A task holds 16 bytes a sample of its partition, which the number of shuffle partitions bounds.
+    """
 
-def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """With each sample of a text (q, p, n: arrays), its context: the bytes [p, p + n - 1 + length)."""
+    def sample(batches):
+        for b in batches:
+            got = [_sampled(s.encode(), length, gram)[0] for s in b.column("text").to_pylist()]
+            h = np.repeat(b.column("h").to_numpy(), [len(x) for x in got])
+            if not len(h):
+                continue
+            rank = np.concatenate(got)
+            order = np.argsort(rank)
+            rank, h = rank[order], h[order]
+            new = np.concatenate([[True], rank[1:] != rank[:-1]])
+            alone = new & np.append(new[1:], True)
+            mark = new & ~alone
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rank | np.where(alone, ALONE, REPEATED), rank[mark] | MARK])), pa.array(np.concatenate([h, h[mark]]))], names=["rank", "h"])
+
+    def keep_tied(batches):
+        got = [(b.column("rank").to_numpy(), b.column("h").to_numpy()) for b in batches if b.num_rows]
+        if not got:
+            return
+        rank, h = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        kind = rank & _LOW
+        known, rank_, h_ = kind == REPEATED, rank & ~_LOW, h
+        yield pa.RecordBatch.from_arrays([pa.array(rank_[known]), pa.array(h_[known])], names=["rank", "h"])
+        kind, rank, h = kind[~known], rank_[~known], h_[~known]
+        order = np.argsort(rank)
+        kind, rank, h = kind[order], rank[order], h[order]
+        same = rank[1:] == rank[:-1]
+        tied = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (kind == ALONE) if len(rank) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(rank[tied]), pa.array(h[tied])], names=["rank", "h"])
+
+    deal = F.when(F.col("rank").bitwiseAND(F.lit(3)) == REPEATED, F.col("h")).otherwise(F.shiftright("rank", 2))
+    return reps.mapInArrow(sample, "rank long, h long").repartition(deal).mapInArrow(keep_tied, "rank long, h long")
+
+
+CONTEXT = "rank long, k long, h long, far int, p int, n int, c binary"
+
+
+def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Of each text's tied samples: rank, the text's k and h, far (from the first start to the sample), p, n (n starts from p on), and the bytes [p, p + n - 1 + length)."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 t = b.column("text")[i].as_py().encode()
-                s = b.column("s")[i].values
-                rank, q, p, n = (s.field(c).to_numpy() for c in ("rank", "q", "p", "n"))
-                for a in range(0, len(p), 1 << 15):
-                    z = slice(a, a + (1 << 15))
+                rank, q, p = _sampled(t, length, gram)
+                tied = np.flatnonzero(np.isin(rank, b.column("tied")[i].values.to_numpy()))
+                n, k, h = np.diff(p), b.column("k")[i].as_py(), b.column("h")[i].as_py()
+                for z in (tied[x : x + (1 << 15)] for x in range(0, len(tied), 1 << 15)):
                     c = [t[x : x + y - 1 + length] for x, y in zip(p[z].tolist(), n[z].tolist(), strict=True)]
                     m = len(c)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rank[z]), pa.array(np.full(m, b.column("k")[i].as_py(), np.int64)), pa.array(np.full(m, b.column("h")[i].as_py(), np.int64)), pa.array(q[z]), pa.array(p[z]), pa.array(n[z]), pa.array(s.field("hot").slice(a, m)), pa.array(c, pa.binary())],
-                        names=["rank", "k", "h", "q", "p", "n", "hot", "c"],
-                    )
-
-    return rows.mapInArrow(run, "rank long, k long, h long, q int, p int, n int, hot boolean, c binary")
-
-
-def _strings(c: list[bytes], q: np.ndarray, p: np.ndarray, n: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all starts of some samples: the sample, the start, and a hash of distance and string."""
-    size = np.array([len(x) for x in c], np.int64)
-    at = np.cumsum(size) - size
-    h = _grams(np.frombuffer(b"".join(c), np.uint8), length)
-    row = np.repeat(np.arange(len(c)), n)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    far = (q.astype(np.int64) - p)[row] - step
-    key = h[at[row] + step] + common.mix64(rank.view(np.uint64)[row] + far.astype(np.uint64) * _C)
-    return row, p[row] + step, common.mix64(key)
+                    parts.append([rank[z], np.full(m, k), np.full(m, h), (q[z] - p[z]).astype(np.int32), p[z].astype(np.int32), n[z].astype(np.int32), c])
+                    if sum(len(x[0]) for x in parts) > 1 << 14:
+                        yield pack()
+        if parts:
+            yield pack()
+
+    def pack() -> pa.RecordBatch:
+        cols = [pa.array(np.concatenate([x[i] for x in parts])) for i in range(6)] + [pa.array([y for x in parts for y in x[6]], pa.binary())]
+        parts.clear()
+        return pa.RecordBatch.from_arrays(cols, names=["rank", "k", "h", "far", "p", "n", "c"])
+
+    parts: list[list] = []
+    return rows.mapInArrow(run, CONTEXT)
+
+
+class Bucket:
+    """The starts of some contexts, those of the earliest text first: row of the context, start, and a hash of rank, distance and string."""
+
+    def __init__(self, t: pa.Table, length: int):
+        rank, k, h, far, p, n = (t.column(c).to_numpy() for c in ("rank", "k", "h", "far", "p", "n"))
+        c = t.column("c").combine_chunks()
+        c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        code = _grams(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]], length)
+        order = np.lexsort((p, h, k))
+        n = n[order]
+        row = np.repeat(order, n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        self.k, self.h, self.start = k[row], h[row], p[row] + step
+        # rank + distance * a constant, so that a context's starts differ by multiples of that constant
+        self.key = common.mix64(code[(at - at[0])[row] + step] + (common.mix64(rank.view(np.uint64)) + far.astype(np.uint64) * _C)[row] - step.astype(np.uint64) * _C)
 
 
 def _ranges(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    """Starts as runs: k, h, from, to (exclusive)."""
+    """Starts as runs: k, h, a, b (exclusive); s is null."""
     order = np.lexsort((p, h, k))
     k, h, p = k[order], h[order], p[order]
     new = np.ones(len(p), bool)
     new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (p[1:] > p[:-1] + 1)
     a = np.flatnonzero(new)
     last = np.append(a[1:], len(p)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(k[a], pa.int64()), pa.array(h[a], pa.int64()), pa.array(p[a], pa.int32()), pa.array(p[last] + 1, pa.int32())], names=["k", "h", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(k[a], pa.int64()), pa.array(h[a], pa.int64()), pa.array(p[a], pa.int32()), pa.array(p[last] + 1, pa.int32())], names=["s", "k", "h", "a", "b"])
+
 
+FOUND = "s long, k long, h long, a int, b int"
 
-def _sorted_buckets(contexts: DataFrame, length: int, slab: int = 1 << 15) -> DataFrame:
-    """Runs of starts whose strings also start earlier, from buckets of samples, a slab of whole ranks at a time."""
+
+def _buckets(contexts: DataFrame, length: int, hot: int, slab: int = 1 << 14) -> DataFrame:
+    """Runs of starts whose strings also start earlier; of hot buckets, each start and the hash s of its string."""
 
     def judge(t: pa.Table) -> pa.RecordBatch:
-        rank, k, h, q, p, n = (t.column(c).to_numpy() for c in ("rank", "k", "h", "q", "p", "n"))
-        order = np.lexsort((p, h, k))
-        row, start, key = _strings(t.column("c").take(pa.array(order)).to_pylist(), q[order], p[order], n[order], rank[order], length)
-        by = np.argsort(key, kind="stable")  # equal strings side by side, the earliest first
+        x = Bucket(t, length)
+        by = np.argsort(x.key, kind="stable")  # equal strings side by side, the earliest first
         first = np.ones(len(by), bool)
-        first[1:] = key[by][1:] != key[by][:-1]
+        first[1:] = x.key[by[1:]] != x.key[by[:-1]]
         lead = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
-        kk, hh = k[order][row], h[order][row]
-        later = (kk[by] != kk[lead]) | (hh[by] != hh[lead]) | (start[by] != start[lead])  # a repeated row is not earlier than itself
+        later = (x.k[by] != x.k[lead]) | (x.h[by] != x.h[lead]) | (x.start[by] != x.start[lead])  # a repeated row is not earlier than itself
         hit = by[later]
-        return _ranges(kk[hit], hh[hit], start[hit])
+        return _ranges(x.k[hit], x.h[hit], x.start[hit])
+
+    def loose(t: pa.Table) -> pa.RecordBatch:
+        x = Bucket(t, length)
+        return pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.k), pa.array(x.h), pa.array(x.start.astype(np.int32)), pa.array(x.start.astype(np.int32) + 1)], names=["s", "k", "h", "a", "b"])
 
     def run(batches):
-        kept, rows = [], 0
+        kept: list[pa.RecordBatch] = []
+        rows, running = 0, None  # running: the rank of a hot bucket under way
         for b in batches:
+            if running is not None:
+                rank = b.column("rank").to_numpy()
+                cut = len(rank) if (rank == running).all() else int(np.argmax(rank != running))
+                if cut:
+                    yield loose(pa.Table.from_batches([b.slice(0, cut)]))
+                b = b.slice(cut)
+                if not b.num_rows:
+                    continue
+                running = None
             kept.append(b)
             rows += b.num_rows
             if rows < slab:
@@ -171,29 +231,33 @@ def _sorted_buckets(contexts: DataFrame, length: int, slab: int = 1 << 15) -> Da
             last = int(np.argmax(rank == rank[-1]))  # the bucket that may go on
             if last:
                 yield judge(t.slice(0, last))
-            kept, rows = t.slice(last).to_batches(), len(rank) - last
+            kept, rows = t.slice(last).combine_chunks().to_batches(), len(rank) - last
+            if rows > hot:
+                yield loose(t.slice(last))
+                kept, rows, running = [], 0, rank[-1]
         if rows:
             yield judge(pa.Table.from_batches(kept).combine_chunks())
 
-    spread = contexts.repartition("rank").sortWithinPartitions("rank")
-    return spread.mapInArrow(run, "k long, h long, a int, b int")
+    return contexts.repartition("rank").sortWithinPartitions("rank").mapInArrow(run, FOUND)
 
 
-def _hot_buckets(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for ranks with very many samples: strings are dealt by their hash, pre-aggregated."""
+def _later(found: DataFrame) -> DataFrame:
+    """k, h, a, b of all runs of starts whose strings also start earlier."""
+    import pyarrow.compute as pc
 
-    def run(batches):
-        for b in batches:
-            for o in range(0, b.num_rows, 1 << 12):
-                c = b.slice(o, 1 << 12)
-                rank, k, h, q, p, n = (c.column(x).to_numpy() for x in ("rank", "k", "h", "q", "p", "n"))
-                row, start, key = _strings(c.column("c").to_pylist(), q, p, n, rank, length)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(k[row]), pa.array(h[row]), pa.array(start.astype(np.int32))], names=["s", "k", "h", "p"])
+    def only(settled: bool):
+        def run(batches):
+            for b in batches:
+                null = pc.is_null(b.column("s"))
+                yield b.filter(null if settled else pc.invert(null))
+
+        return run
 
-    strings = contexts.mapInArrow(run, "s long, k long, h long, p int")
-    first = strings.groupBy("s").agg(F.min(F.struct("k", "h", "p")).alias("e"), F.count("*").alias("times")).where("times > 1").select(F.col("s").alias("t"), "e")
-    later = strings.join(first, F.col("s") == F.col("t")).where(F.struct("k", "h", "p") > F.col("e"))
-    return later.select("k", "h", F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
+    dealt = found.repartition("h")  # one exchange for both; Python keeps filters above it
+    plain, strings = dealt.mapInArrow(only(True), FOUND), dealt.mapInArrow(only(False), FOUND)
+    first = strings.groupBy("s").agg(F.min(F.struct("k", "h", "a")).alias("e"), F.count("*").alias("times")).where("times > 1").select(F.col("s").alias("t"), "e")
+    more = strings.join(first, F.col("s") == F.col("t")).where(F.struct("k", "h", "a") > F.col("e"))
+    return plain.select("k", "h", "a", "b").unionByName(more.select("k", "h", "a", "b"))
 
 
 def _cover(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -215,29 +279,25 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     smaller text hash), or earlier in the same text.  Null or empty or shorter texts lose nothing.
     Rows that repeat an id and a text are one text.  Empty table: no rows.
     """
-    spark = common.ship(docs.sparkSession)
-    scratch = common.Scratch(spark)
-    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
-    once = shown.drop("doc_id")
-    sampled, at = scratch.save(_sample(once, length, gram))
-    again = sampled.groupBy("rank").count().where("count > 1").select(F.col("rank").alias("r"), (F.col("count") > hot).alias("hot"))
-    tied = sampled.join(again, F.col("rank") == F.col("r"))
-    of_text = tied.groupBy("k", "h").agg(F.collect_set(F.struct("rank", "q", "p", "n", "hot")).alias("s"))  # at most a text's own samples
-    tied_texts = once.join(of_text.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "s"), (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2"))).drop("k2", "h2")
-    contexts = _contexts(tied_texts, length)
-    found = _sorted_buckets(contexts.where("not hot"), length)
-    if sampled.groupBy("rank").count().where(F.col("count") > hot).limit(1).count():
-        found = found.unionByName(_hot_buckets(contexts.where("hot"), length))
-    found, _ = scratch.save(found)
-    scratch.drop(at)
-    spans = found.groupBy(F.col("k").alias("k3"), F.col("h").alias("h3")).agg(F.collect_list(F.struct("a", "b")).alias("s"))
+    common.ship(docs.sparkSession)
+    # h deals texts out; g tells apart, all but surely, texts of an equal h.
+    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.key().alias("k"), common.text().alias("text")).withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
+    first = shown.groupBy("h").agg(F.min(F.struct("k", "g")).alias("f")).select(F.col("h").alias("fh"), "f")
+    texts = shown.join(first, F.col("h") == F.col("fh")).withColumn("copy", (F.col("k") != F.col("f.k")) & (F.col("g") == F.col("f.g"))).select("doc_id", "k", "h", "text", "copy")
+    reps = texts.where("not copy")
+    by_text = _tied(reps.select("h", "text"), length, gram).groupBy("h").agg(F.collect_list("rank").alias("tied")).select(F.col("h").alias("th"), "tied")  # a text's own samples
+    contexts = _contexts(reps.join(by_text, F.col("h") == F.col("th")).select("k", "h", "text", "tied"), length, gram)
+    spans = _later(_buckets(contexts, length, hot)).groupBy("h").agg(F.collect_list(F.struct("k", "a", "b")).alias("s")).select(F.col("h").alias("sh"), "s")
 
     def run(batches):
         for b in batches:
             n, gone, runs, sha, rest = [], [], [], [], []
-            for t, s in zip(b.column("text").to_pylist(), b.column("s"), strict=True):
+            for t, k, copy, s in zip(b.column("text").to_pylist(), b.column("k").to_pylist(), b.column("copy").to_pylist(), b.column("s"), strict=True):
                 t = t.encode()
-                cover = _cover(s.values.field("a").to_numpy(), s.values.field("b").to_numpy(), length) if s.is_valid else []
+                cover = [(0, len(t))] if copy and len(t) >= length else []
+                if s.is_valid and not copy:
+                    own = s.values.field("k").to_numpy() == k
+                    cover = _cover(s.values.field("a").to_numpy()[own], s.values.field("b").to_numpy()[own], length)
                 at, parts = 0, []
                 for x, y in cover:
                     parts.append(t[at:x])
@@ -250,7 +310,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                 rest.append(kept)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    whole = shown.join(spans, (F.col("k") == F.col("k3")) & (F.col("h") == F.col("h3")), "left").select("doc_id", "text", "s")
+    whole = texts.join(spans, F.col("h") == F.col("sh"), "left").select("doc_id", "k", "text", "copy", "s")
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
