@@ -182,10 +182,10 @@ def _ranges(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
     """Starts as runs: k, h, a, b (exclusive); s is null."""
     order = np.lexsort((p, h, k))
     k, h, p = k[order], h[order], p[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (p[1:] > p[:-1] + 1)
-    a = np.flatnonzero(new)
-    last = np.append(a[1:], len(p)) - 1
+    new = np.ones(len(p) + 1, bool)  # the last closes the last run
+    new[1:-1] = (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (p[1:] > p[:-1] + 1)
+    edge = np.flatnonzero(new)
+    a, last = edge[:-1], edge[1:] - 1
     return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(k[a], pa.int64()), pa.array(h[a], pa.int64()), pa.array(p[a], pa.int32()), pa.array(p[last] + 1, pa.int32())], names=["s", "k", "h", "a", "b"])
 
 
@@ -281,9 +281,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     """
     common.ship(docs.sparkSession)
     # h deals texts out; g tells apart, all but surely, texts of an equal h.
-    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.key().alias("k"), common.text().alias("text")).withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
+    shown = docs.select(common.key().alias("k"), common.text().alias("text")).withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
     first = shown.groupBy("h").agg(F.min(F.struct("k", "g")).alias("f")).select(F.col("h").alias("fh"), "f")
-    texts = shown.join(first, F.col("h") == F.col("fh")).withColumn("copy", (F.col("k") != F.col("f.k")) & (F.col("g") == F.col("f.g"))).select("doc_id", "k", "h", "text", "copy")
+    texts = shown.join(first, F.col("h") == F.col("fh")).withColumn("copy", (F.col("k") != F.col("f.k")) & (F.col("g") == F.col("f.g"))).select("k", "h", "text", "copy")
     reps = texts.where("not copy")
     by_text = _tied(reps.select("h", "text"), length, gram).groupBy("h").agg(F.collect_list("rank").alias("tied")).select(F.col("h").alias("th"), "tied")  # a text's own samples
     contexts = _contexts(reps.join(by_text, F.col("h") == F.col("th")).select("k", "h", "text", "tied"), length, gram)
@@ -310,7 +310,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                 rest.append(kept)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    whole = texts.join(spans, F.col("h") == F.col("sh"), "left").select("doc_id", "k", "text", "copy", "s")
+    whole = texts.join(spans, F.col("h") == F.col("sh"), "left").select(F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), "k", "text", "copy", "s")
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
