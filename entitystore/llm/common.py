@@ -149,3 +149,19 @@ def slabs(rows: list, size, limit: int = 4 << 20):
         total += n
     if out:
         yield out
+
+
+def slices(batches, column: str = "text", limit: int = 4 << 20):
+    """Arrow batches cut so that a column's strings add up to about limit bytes; a longer string stands alone."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
+            yield b.slice(at, end - at)
+            at = end

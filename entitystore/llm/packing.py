@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         so_far = Counter()
-        for b in batches:
+        for b in common.slices(batches):
             ids = token_ids(b.column("text").to_pylist(), path)
             doc, piece, start, length, crc, nth = [], [], [], [], [], []
             for d, x in zip(b.column("doc_id").to_pylist(), ids, strict=True):

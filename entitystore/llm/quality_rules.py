@@ -193,7 +193,7 @@ def _measured(rows: DataFrame, more: str = "") -> DataFrame:
     names = [f.split()[0] for f in more.split(", ") if f]
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             texts = [s.encode() for s in b.column("text").to_pylist()]
             parts = [statistics(g) for g in common.slabs(texts, len)] or [statistics([])]
             s = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}

@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             fp = np.array([fingerprint(s.encode()) for s in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 

@@ -37,20 +37,20 @@ _ALL = (1 << 64) - 1
 
 
 def _grams(buf: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n bytes from each place on (for the last axis of buf), by doubling."""
+    """Hashes of the n bytes from each place on, by doubling."""
     h = common._BYTE[buf]
     have, mult = 1, int(_C)
-    power = [(1, h, _C)]
+    power = []  # what n's binary digits need
     while have * 2 <= n:
-        h = h[..., :-have] * np.uint64(mult) + h[..., have:]
+        if n & have:
+            power.append((have, h, np.uint64(mult)))
+        h = h[:-have] * np.uint64(mult) + h[have:]
         have, mult = have * 2, mult * mult & _ALL
-        power.append((have, h, np.uint64(mult)))
-    have, h, mult = power[-1]
-    for m, g, factor in reversed(power[:-1]):
-        if have + m <= n:
-            size = buf.shape[-1] - have - m + 1
-            h = h[..., :size] * factor + g[..., have : have + size]
-            have += m
+    for m, g, factor in reversed(power):
+        size = len(buf) - have - m + 1
+        h = h[:size] * factor
+        h += g[have : have + size]
+        have += m
     return common.mix64(h)
 
 
@@ -96,7 +96,7 @@ def _tied(reps: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def sample(batches):
-        for b in batches:
+        for b in common.slices(batches):
             got = [_sampled(s.encode(), length, gram)[0] for s in b.column("text").to_pylist()]
             h = np.repeat(b.column("h").to_numpy(), [len(x) for x in got])
             if not len(h):
@@ -136,17 +136,17 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """Of each text's tied samples: rank, the text's k and h, far (from the first start to the sample), p, n (n starts from p on), and the bytes [p, p + n - 1 + length)."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             for i in range(b.num_rows):
                 t = b.column("text")[i].as_py().encode()
                 rank, q, p = _sampled(t, length, gram)
                 tied = np.flatnonzero(np.isin(rank, b.column("tied")[i].values.to_numpy()))
                 n, k, h = np.diff(p), b.column("k")[i].as_py(), b.column("h")[i].as_py()
-                for z in (tied[x : x + (1 << 15)] for x in range(0, len(tied), 1 << 15)):
+                for z in (tied[x : x + (1 << 13)] for x in range(0, len(tied), 1 << 13)):
                     c = [t[x : x + y - 1 + length] for x, y in zip(p[z].tolist(), n[z].tolist(), strict=True)]
                     m = len(c)
                     parts.append([rank[z], np.full(m, k), np.full(m, h), (q[z] - p[z]).astype(np.int32), p[z].astype(np.int32), n[z].astype(np.int32), c])
-                    if sum(len(x[0]) for x in parts) > 1 << 14:
+                    if sum(len(x[0]) for x in parts) > 1 << 13:
                         yield pack()
         if parts:
             yield pack()
@@ -192,7 +192,7 @@ def _ranges(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
 FOUND = "s long, k long, h long, a int, b int"
 
 
-def _buckets(contexts: DataFrame, length: int, hot: int, slab: int = 1 << 14) -> DataFrame:
+def _buckets(contexts: DataFrame, length: int, hot: int, slab: int = 1 << 13) -> DataFrame:
     """Runs of starts whose strings also start earlier; of hot buckets, each start and the hash s of its string."""
 
     def judge(t: pa.Table) -> pa.RecordBatch:
@@ -272,8 +272,8 @@ def _cover(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and kept (the bytes that stay).
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, digest: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and, unless digest, kept (the bytes that stay).
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a smaller doc_id (then a
     smaller text hash), or earlier in the same text.  Null or empty or shorter texts lose nothing.
@@ -290,7 +290,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     spans = _later(_buckets(contexts, length, hot)).groupBy("h").agg(F.collect_list(F.struct("k", "a", "b")).alias("s")).select(F.col("h").alias("sh"), "s")
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             n, gone, runs, sha, rest = [], [], [], [], []
             for t, k, copy, s in zip(b.column("text").to_pylist(), b.column("k").to_pylist(), b.column("copy").to_pylist(), b.column("s"), strict=True):
                 t = t.encode()
@@ -308,11 +308,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                 runs.append(len(cover))
                 sha.append(hashlib.sha256(kept).hexdigest())
                 rest.append(kept)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out = {"doc_id": b.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            yield pa.RecordBatch.from_pydict(out if digest else out | {"kept": pa.array(rest, pa.binary())})
 
-    whole = texts.join(spans, F.col("h") == F.col("sh"), "left").select(F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), "k", "text", "copy", "s")
-    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    whole = texts.join(spans, (F.col("h") == F.col("sh")) & ~F.col("copy"), "left").select(F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), "k", "text", "copy", "s")
+    return whole.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{'' if digest else ', kept binary'}")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(common.table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(common.table(spark, sf_dir, "documents"), digest=True)

@@ -133,7 +133,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = CONTEXT, chunk: int =
     common.ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             texts = b.column("text").to_pylist()
             n = counts(texts, path, chunk, overlap)
             yield pa.RecordBatch.from_arrays(
