@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, line_dedup
+from .decontamination import op8_benchmark_decontamination
+from .line_dedup import op10_line_dedup
 from .packing import op3_best_fit_packing
 from .quality_rules import op2_quality_rules
 from .simhash import op6_simhash_near_dedup
@@ -20,8 +23,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_benchmark_decontamination": decontamination.SQL,
+        "op10_line_dedup": line_dedup.SQL,
+    }
