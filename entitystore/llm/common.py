@@ -165,3 +165,19 @@ def slices(batches, column: str = "text", limit: int = 4 << 20):
             end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def once(c: Column) -> Column:
+    """The same value, which the optimiser does not copy into the expressions that use it.
+
+    It would move an array's expression into a lambda, and so compute the array anew for each element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def blocks(rows: DataFrame, by: list[str], size: int = 500_000) -> list[DataFrame]:
+    """Rows in parts of about size rows, so that each can be broadcast whatever the whole's size."""
+    n = -(-rows.count() // size)
+    if n <= 1:
+        return [rows]
+    return [rows.where(F.pmod(F.xxhash64(*by), F.lit(n)) == i) for i in range(n)]

@@ -39,18 +39,10 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return had.select("item", F.explode(cut).alias("w")).groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _blocks(rows: DataFrame, by: list[str], size: int) -> list[DataFrame]:
-    """Rows in parts of about size rows, each to be broadcast."""
-    n = -(-rows.count() // size)
-    if n <= 1:
-        return [rows]
-    return [rows.where(F.pmod(F.xxhash64(*by), F.lit(n)) == i) for i in range(n)]
-
-
 def frequencies(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
     """term, times: postings of each of some terms in the corpus (whole texts); none: no row."""
     each = docs.select(F.explode(words(common.text())).alias("term"))
-    parts = [each.join(F.broadcast(part), "term") for part in _blocks(terms, ["term"], block)]
+    parts = [each.join(F.broadcast(part), "term") for part in common.blocks(terms, ["term"], block)]
     return reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.count("*").alias("times"))
 
 
@@ -76,7 +68,7 @@ def phrase_matches(docs: DataFrame, wanted: DataFrame, block: int = BLOCK) -> Da
     table, _ = common.Scratch(spark).save(table)
     ends = spark.range(1).select(F.lit("").alias("term"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("items"))
     parts = []
-    for i, part in enumerate(_blocks(table, ["w"], block)):
+    for i, part in enumerate(common.blocks(table, ["w"], block)):
         part = part.unionByName(ends) if i == 0 else part
         posting = docs.select(*_key_columns()).select("k", "h", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "term"))
         start = F.col("pos") - F.col("at")
@@ -132,7 +124,7 @@ def proximity_matches(docs: DataFrame, wanted: DataFrame, within: int, block: in
     sets = wanted.select("id", F.array_sort(F.array_distinct("w")).alias("w")).where(F.size("w") > 0)
     table, _ = common.Scratch(docs.sparkSession).save(anchors(sets, frequencies(docs, sets.select(F.explode("w").alias("term")).distinct(), block)))
     parts = []
-    for part in _blocks(table, ["w"], block):
+    for part in common.blocks(table, ["w"], block):
         posting = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(common.text()).alias("words")).select("doc_id", "words", F.posexplode("words").alias("pos", "term"))
         low = F.greatest(F.col("pos") - within, F.lit(0))
         near = F.slice("words", low + 1, F.col("pos") - low + within + 1)

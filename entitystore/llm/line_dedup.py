@@ -31,16 +31,13 @@ def _pick(array: str, i: Column) -> Column:
 def runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """k, h (document), a, b (the name), i, j (first and last line) of every shortest run of ``least`` words."""
     lines = docs.select(common.key().alias("k"), common.text().alias("text")).select("k", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
-    counted = lines.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))))
-    at = counted.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _pick("words", i) > 0)).where(F.size("at") > 0)
-    named = at.select(
-        "k", "h", "at", F.transform("at", lambda i: _pick("words", i)).alias("w"),
-        F.transform("at", lambda i: F.xxhash64(_pick("lines", i))).alias("a0"), F.transform("at", lambda i: F.xxhash64(F.lit(1), _pick("lines", i))).alias("b0"),
-    )
+    told = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    worded = lines.select("k", "h", common.once(F.filter(told, lambda x: x["w"] > 0)).alias("x")).where(F.size("x") > 0)
+    named = worded.select("k", "h", *(common.once(F.col(f"x.{f}")).alias(n) for f, n in (("at", "at"), ("w", "w"), ("a", "a0"), ("b", "b0"))))
     span = F.sequence(F.lit(0), F.size("at") - 1)
     levels = max(1, least.bit_length())
     def doubled(x: str, step: int, *seed: Column) -> Column:
-        return F.transform(span, lambda p: F.xxhash64(*seed, _pick(x, p), _pick(x, p + step)))
+        return common.once(F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda u, v: F.xxhash64(*seed, u, v)))
 
     for k in range(levels - 1):
         named = named.withColumns({f"a{k + 1}": doubled(f"a{k}", 1 << k), f"b{k + 1}": doubled(f"b{k}", 1 << k, F.lit(1))})
@@ -60,7 +57,7 @@ def runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     first = F.transform(span, lambda p: F.struct(p.alias("p"), onwards(p).alias("m")))
     last = F.transform(span, lambda p: F.struct((p - backwards(p) + 1).alias("p"), backwards(p).alias("m")))
     both = F.array_distinct(F.filter(F.concat(first, last), lambda x: x["m"].isNotNull()))
-    each = named.withColumn("run", F.explode(both))
+    each = named.withColumn("run", F.explode(common.once(both)))
     p, m = F.col("run.p"), F.col("run.m")
 
     def name(x: str) -> Column:
@@ -75,7 +72,7 @@ def runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """k, h, i, j of the runs that also start earlier: in a smaller doc_id (then a smaller text hash), or earlier in the same text."""
-    each = runs(docs, least)
+    each, _ = common.Scratch(docs.sparkSession).save(runs(docs, least))
     place = F.struct("k", "h", "i")
     interval = each.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "first")
     return each.join(interval, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).where(place > F.col("first")).select("k", "h", "i", "j")
@@ -90,7 +87,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = ())
     """
     gone = later_copies(docs, least).groupBy("k", "h").agg(F.collect_set(F.struct("i", "j")).alias("runs")).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "runs")
     whole = docs.select(common.key().alias("k"), common.text().alias("_text"), *keep).withColumn("h", F.xxhash64("_text"))
-    met = whole.join(gone, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").withColumn("lines", F.split("_text", "\n", -1))
+    met = whole.join(gone, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").withColumn("lines", common.once(F.split("_text", "\n", -1)))
     met = met.withColumn("removed", F.when(F.col("runs").isNotNull(), F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["i"], x["j"]))))))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: _pick("lines", i)), "\n"))
