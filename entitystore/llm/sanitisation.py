@@ -15,6 +15,8 @@ that pass the support.  Texts are not shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -33,6 +35,7 @@ PATTERNS = {
 #: A character that every match holds, to skip texts cheaply.
 HOLDS = {"email": "@", "ip": ".", "phone": "+"}
 WORD = r"[^\x20\x09-\x0D]+"
+MARKS = ".,;:!?\"'()[]{}<>|#*$%&/=_~`^+-"
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
 
 
@@ -79,31 +82,35 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return parts.distinct()
 
 
-def _terms(text: Column) -> Column:
-    """term, context of every word: the word in lower case without marks at its ends, and a hash of the words beside it."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
-    padded = F.concat(F.array(F.lit("")), w, F.array(F.lit("")))
-    return F.transform(w, lambda x, i: F.struct(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("term"), F.xxhash64(F.get(padded, i), F.get(padded, i + 2)).alias("context")))
+def _said(rows: DataFrame) -> DataFrame:
+    """The other columns of rows, and each word of its text: term (lower case, no marks at its ends), before and after (the words beside it)."""
+    w = rows.withColumn("_w", common.once(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).where(F.size("_w") > 0)
+    none = F.array(F.lit(""))
+    beside = w.withColumn("_x", F.explode(F.arrays_zip("_w", F.concat(none, "_w").alias("b"), F.concat(F.slice("_w", 2, F.size("_w")), none).alias("a"))))
+    out = beside.select(*(c for c in rows.columns if c != "text"), F.btrim("_x._w", F.lit(MARKS)).alias("term"), F.col("_x.b").alias("before"), F.col("_x.a").alias("after"))
+    return out.where(F.length("term") > 1)
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, scratch: common.Scratch, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """term, entity, bits of the terms that disclose an entity (kind and value) of spans."""
-    entity = spans.select("k", "h", F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))).alias("entity")).distinct()
-    texts = entity.groupBy("entity").agg(F.count_distinct("h").alias("texts")).where(F.col("texts") >= support)
-    shared = entity.join(texts, "entity").select("h", "entity").distinct()
+    value = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
+    entity = spans.select("h", F.concat_ws(":", "kind", value).alias("entity")).distinct()
+    texts = entity.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
+    shared = entity.join(texts.select("entity"), "entity")
     each = docs.select(common.text().alias("text")).withColumn("h", F.xxhash64("text"))
-    wanted = each.join(shared.select("h").distinct(), "h", "left_semi")
-    own = F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), 0) for p in PATTERNS.values()))), lambda x: F.lower(x)))
-    said = wanted.select("h", own.alias("own"), F.explode(_terms(F.col("text"))).alias("x")).where((F.length("x.term") > 1) & ~F.exists("own", lambda o: F.contains(o, F.col("x.term"))))
-    per_text = said.groupBy("h", "x.term").agg(F.min("x.context").alias("context"))
-    pairs = per_text.join(shared, "h").groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
+    # Only texts with a base span; the filter is by pattern, so that texts are not shuffled.
+    held = each.where(reduce(lambda a, b: a | b, ((F.contains("text", F.lit(HOLDS[kind])) if kind in HOLDS else F.lit(True)) & F.rlike("text", F.lit(pattern)) for kind, pattern in PATTERNS.items())))
+    own = F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), 0) for p in PATTERNS.values()))), F.lower))
+    said = _said(held.withColumn("own", common.once(own))).where(~F.exists("own", lambda o: F.contains(o, F.col("term"))))
+    context = F.min(F.xxhash64("before", "after")).alias("context")
+    pairs = said.select("h", "term", "before", "after").join(shared, "h").groupBy("term", "entity", "h").agg(context)
+    pairs = pairs.groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
     pairs, _ = scratch.save(pairs)
     if not pairs.take(1):
         return pairs.select("term", "entity", F.lit(0.0).alias("bits"))
-    # Evidence over the whole corpus, for the terms and entities in question.
-    asked = pairs.select("term").distinct()
-    said = each.select("h", F.explode(_terms(F.col("text"))).alias("x")).select("h", "x.term", "x.context").join(asked, "term", "left_semi")
-    of_term = said.groupBy("term", "h").agg(F.min("context").alias("context")).groupBy("term").agg(F.count_distinct("context").alias("of_term"))
+    # Evidence over the whole corpus, for the terms in question: a part of them is broadcast at a time.
+    parts = [_said(each).join(F.broadcast(part), "term", "left_semi").groupBy("term", "h").agg(context) for part in common.blocks(pairs.select("term").distinct(), ["term"])]
+    of_term = reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.count_distinct("context").alias("of_term"))
     total = each.select(F.count_distinct("h")).first()[0]
     bits_of = F.log2(F.col("both") * F.lit(float(total)) / (F.col("of_term") * F.greatest("texts", "both")))
     weighed = pairs.join(of_term, "term").join(texts, "entity").withColumn("bits", bits_of)
@@ -118,11 +125,12 @@ def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: fl
     if not terms.take(1):
         return base
     rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
-    hit = rows.select("h", F.explode(F.array_distinct(F.transform(_terms(F.col("text")), lambda x: x["term"]))).alias("term")).join(terms, "term", "left_semi").select("h").distinct()
+    hit = reduce(DataFrame.unionByName, [_said(rows.select("h", "text")).join(F.broadcast(part), "term", "left_semi").select("h") for part in common.blocks(terms, ["term"])]).distinct()
     words = _located(rows.join(hit, "h", "left_semi").withColumn("_r", F.monotonically_increasing_id()), "text", WORD).drop("_r").distinct()
-    bare = F.regexp_replace("value", r"[^\p{L}\p{N}]+$", "")
-    cut = words.select("k", "h", (F.col("end") - F.length("value") + F.length(bare) - F.length(F.regexp_replace(bare, r"^[^\p{L}\p{N}]+", ""))).alias("start"), F.regexp_replace(bare, r"^[^\p{L}\p{N}]+", "").alias("value"))
-    more = cut.withColumn("term", F.lower("value")).join(terms, "term", "left_semi")
+    bare = F.btrim("value", F.lit(MARKS))
+    lead = F.length("value") - F.length(F.ltrim("value", F.lit(MARKS)))
+    cut = words.select("k", "h", (F.col("start") + lead).alias("start"), bare.alias("value"), F.lower(bare).alias("term"))
+    more = cut.join(terms, "term", "left_semi")
     return base.unionByName(more.select("k", "h", F.lit("term").alias("kind"), "value", "start", (F.col("start") + F.length("value")).alias("end")))
 
 
