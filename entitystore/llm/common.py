@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NULL_ID = -(2**63)
+#: Rows that may be broadcast at once.
+BLOCK = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,7 +177,7 @@ def once(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def blocks(rows: DataFrame, by: list[str], size: int = 500_000) -> list[DataFrame]:
+def blocks(rows: DataFrame, by: list[str], size: int = BLOCK) -> list[DataFrame]:
     """Rows in parts of about size rows, so that each can be broadcast whatever the whole's size."""
     n = -(-rows.count() // size)
     if n <= 1:

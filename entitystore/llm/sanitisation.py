@@ -96,25 +96,39 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, scratch: common.Scratch,
     value = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
     entity = spans.select("h", F.concat_ws(":", "kind", value).alias("entity")).distinct()
     texts = entity.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
-    shared = entity.join(texts.select("entity"), "entity")
+    shared, _ = scratch.save(entity.join(texts.select("entity"), "entity"))
     each = docs.select(common.text().alias("text")).withColumn("h", F.xxhash64("text"))
     # Only texts with a base span; the filter is by pattern, so that texts are not shuffled.
     held = each.where(reduce(lambda a, b: a | b, ((F.contains("text", F.lit(HOLDS[kind])) if kind in HOLDS else F.lit(True)) & F.rlike("text", F.lit(pattern)) for kind, pattern in PATTERNS.items())))
     own = F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), 0) for p in PATTERNS.values()))), F.lower))
-    said = _said(held.withColumn("own", common.once(own))).where(~F.exists("own", lambda o: F.contains(o, F.col("term"))))
     context = F.min(F.xxhash64("before", "after")).alias("context")
-    pairs = said.select("h", "term", "before", "after").join(shared, "h").groupBy("term", "entity", "h").agg(context)
-    pairs = pairs.groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
-    pairs, _ = scratch.save(pairs)
-    if not pairs.take(1):
-        return pairs.select("term", "entity", F.lit(0.0).alias("bits"))
-    # Evidence over the whole corpus, for the terms in question: a part of them is broadcast at a time.
-    parts = [_said(each).join(F.broadcast(part), "term", "left_semi").groupBy("term", "h").agg(context) for part in common.blocks(pairs.select("term").distinct(), ["term"])]
-    of_term = reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.count_distinct("context").alias("of_term"))
+    ids = shared.select("h").distinct()
+    few = ids.limit(common.BLOCK + 1).count() <= common.BLOCK  # broadcast only if that few; else both sides are dealt by h
+    said = _said(held.join(F.broadcast(ids) if few else ids, "h", "left_semi").withColumn("own", common.once(own))).where(~F.exists("own", lambda o: F.contains(o, F.col("term"))))
+    near, _ = scratch.save(said.groupBy("h", "term").agg(context))
+    pairs = near.join(shared, "h").groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
+
+    def enough(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
+        """Pairs whose share is large enough over some texts; over more texts it can only be less."""
+        return pairs.join(evidence, "term").where(F.col("both") >= share * F.col("of_term"))
+
+    def evidence(per_text: DataFrame) -> DataFrame:
+        return per_text.groupBy("term").agg(F.count_distinct("context").alias("of_term"))
+
+    def counted(rows: DataFrame, terms: DataFrame) -> DataFrame:
+        """Evidence for some terms over the texts of rows; a bounded part of the terms is broadcast at a time."""
+        parts = [_said(rows).join(F.broadcast(part), "term", "left_semi").groupBy("term", "h").agg(context) for part in common.blocks(terms, ["term"])]
+        return evidence(reduce(DataFrame.unionByName, parts))
+
+    # The share is tested over the entities' texts, then over all texts with a base span, then over the corpus.
+    pairs, _ = scratch.save(enough(pairs, evidence(near)).drop("of_term"))
+    for rows in (held, each):
+        if not pairs.take(1):
+            return pairs.select("term", "entity", F.lit(0.0).alias("bits"))
+        pairs, _ = scratch.save(enough(pairs.drop("of_term"), counted(rows, pairs.select("term").distinct())))
     total = each.select(F.count_distinct("h")).first()[0]
     bits_of = F.log2(F.col("both") * F.lit(float(total)) / (F.col("of_term") * F.greatest("texts", "both")))
-    weighed = pairs.join(of_term, "term").join(texts, "entity").withColumn("bits", bits_of)
-    return weighed.where((F.col("both") >= share * F.col("of_term")) & (F.col("bits") >= bits)).select("term", "entity", "bits")
+    return pairs.join(texts, "entity").withColumn("bits", bits_of).where(F.col("bits") >= bits).select("term", "entity", "bits")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
