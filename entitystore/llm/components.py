@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,29 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, F.col("u") == F.col("w")).drop("w")
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """Links that connect the same ids with one link an id and partition: a partition's own links are joined in memory, which its size bounds."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = x = root[y]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+        ends = [(x, find(x)) for x in list(root)]
+        ends = [(x, y) for x, y in ends if x != y]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([y for _, y in ends], pa.int64())], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Of links (u, v): u, root (the least id reachable) for every id that has a link.
 
@@ -25,7 +49,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     it deleted, so lost executors cost one round.
     """
     state, path = None, None
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = _contract(edges).distinct()
     while True:
         now, new = scratch.save(now)
         if path:
