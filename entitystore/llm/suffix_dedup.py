@@ -192,7 +192,7 @@ def _ranges(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
 FOUND = "s long, k long, h long, a int, b int"
 
 
-def _buckets(contexts: DataFrame, length: int, hot: int, slab: int = 1 << 13) -> DataFrame:
+def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame:
     """Runs of starts whose strings also start earlier; of hot buckets, each start and the hash s of its string."""
 
     def judge(t: pa.Table) -> pa.RecordBatch:
@@ -216,8 +216,8 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int = 1 << 13) ->
             if running is not None:
                 rank = b.column("rank").to_numpy()
                 cut = len(rank) if (rank == running).all() else int(np.argmax(rank != running))
-                if cut:
-                    yield loose(pa.Table.from_batches([b.slice(0, cut)]))
+                for x in range(0, cut, slab):
+                    yield loose(pa.Table.from_batches([b.slice(x, min(slab, cut - x))]))
                 b = b.slice(cut)
                 if not b.num_rows:
                     continue
@@ -233,7 +233,8 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int = 1 << 13) ->
                 yield judge(t.slice(0, last))
             kept, rows = t.slice(last).combine_chunks().to_batches(), len(rank) - last
             if rows > hot:
-                yield loose(t.slice(last))
+                for x in range(last, len(rank), slab):
+                    yield loose(t.slice(x, slab))
                 kept, rows, running = [], 0, rank[-1]
         if rows:
             yield judge(pa.Table.from_batches(kept).combine_chunks())
@@ -272,7 +273,7 @@ def _cover(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, slab: int = 1 << 13, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and, unless digest, kept (the bytes that stay).
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a smaller doc_id (then a
@@ -287,7 +288,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     reps = texts.where("not copy")
     by_text = _tied(reps.select("h", "text"), length, gram).groupBy("h").agg(F.collect_list("rank").alias("tied")).select(F.col("h").alias("th"), "tied")  # a text's own samples
     contexts = _contexts(reps.join(by_text, F.col("h") == F.col("th")).select("k", "h", "text", "tied"), length, gram)
-    spans = _later(_buckets(contexts, length, hot)).groupBy("h").agg(F.collect_list(F.struct("k", "a", "b")).alias("s")).select(F.col("h").alias("sh"), "s")
+    spans = _later(_buckets(contexts, length, hot, slab)).groupBy("h").agg(F.collect_list(F.struct("k", "a", "b")).alias("s")).select(F.col("h").alias("sh"), "s")
 
     def run(batches):
         for b in common.slices(batches):
