@@ -11,8 +11,8 @@ property that a difference cover gives for ties, with a thirtieth of the places
    an Arrow batch are known to be tied there, and send one row to the exchange, not one each.
 2. The context of each tied sample (the bytes that its suffixes span) goes to the bucket of its
    rank.  A task takes its buckets in order, a bounded number of contexts at a time, sorts the
-   suffixes of each by distance and content, and marks all but the first of equal ones.  A bucket
-   of over ``hot`` contexts is dealt out anew by hashes of its strings, pre-aggregated.
+   suffixes of each by distance and content, and marks all but the first of equal ones.  Of a bucket
+   of over ``hot`` contexts, the first of each string in a slab are dealt out anew by hashes of their strings.
 3. Marked runs of starts, widened to the bytes they cover, meet their texts, and bytes are removed.
 
 Texts are dealt out once, by their hash; the plan reuses that exchange for all three steps.
@@ -193,9 +193,10 @@ FOUND = "s long, k long, h long, a int, b int"
 
 
 def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame:
-    """Runs of starts whose strings also start earlier; of hot buckets, each start and the hash s of its string."""
+    """Runs of starts whose strings also start earlier; of hot buckets, also the first start of each string in a slab, with the hash s of the string."""
 
-    def judge(t: pa.Table) -> pa.RecordBatch:
+    def judge(t: pa.Table, loose: bool = False):
+        """Runs of later starts among some contexts; if loose, also the first start of each string, as other contexts may have it earlier."""
         x = Bucket(t, length)
         by = np.argsort(x.key, kind="stable")  # equal strings side by side, the earliest first
         first = np.ones(len(by), bool)
@@ -203,11 +204,11 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame
         lead = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
         later = (x.k[by] != x.k[lead]) | (x.h[by] != x.h[lead]) | (x.start[by] != x.start[lead])  # a repeated row is not earlier than itself
         hit = by[later]
-        return _ranges(x.k[hit], x.h[hit], x.start[hit])
-
-    def loose(t: pa.Table) -> pa.RecordBatch:
-        x = Bucket(t, length)
-        return pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.k), pa.array(x.h), pa.array(x.start.astype(np.int32)), pa.array(x.start.astype(np.int32) + 1)], names=["s", "k", "h", "a", "b"])
+        yield _ranges(x.k[hit], x.h[hit], x.start[hit])
+        if loose:
+            f = by[first]
+            at = x.start[f].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x.key[f].view(np.int64)), pa.array(x.k[f]), pa.array(x.h[f]), pa.array(at), pa.array(at + 1)], names=["s", "k", "h", "a", "b"])
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
@@ -217,7 +218,7 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame
                 rank = b.column("rank").to_numpy()
                 cut = len(rank) if (rank == running).all() else int(np.argmax(rank != running))
                 for x in range(0, cut, slab):
-                    yield loose(pa.Table.from_batches([b.slice(x, min(slab, cut - x))]))
+                    yield from judge(pa.Table.from_batches([b.slice(x, min(slab, cut - x))]), loose=True)
                 b = b.slice(cut)
                 if not b.num_rows:
                     continue
@@ -230,14 +231,14 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame
             rank = t.column("rank").to_numpy()
             last = int(np.argmax(rank == rank[-1]))  # the bucket that may go on
             if last:
-                yield judge(t.slice(0, last))
+                yield from judge(t.slice(0, last))
             kept, rows = t.slice(last).combine_chunks().to_batches(), len(rank) - last
             if rows > hot:
                 for x in range(last, len(rank), slab):
-                    yield loose(t.slice(x, slab))
+                    yield from judge(t.slice(x, slab), loose=True)
                 kept, rows, running = [], 0, rank[-1]
         if rows:
-            yield judge(pa.Table.from_batches(kept).combine_chunks())
+            yield from judge(pa.Table.from_batches(kept).combine_chunks())
 
     return contexts.repartition("rank").sortWithinPartitions("rank").mapInArrow(run, FOUND)
 
