@@ -139,7 +139,7 @@ class Words:
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
-def slabs(rows: list, size, limit: int = 4 << 20):
+def slabs(rows: list, size, limit: int = 1 << 20):
     """Runs of rows whose sizes add up to about limit; a larger row stands alone."""
     out, total = [], 0
     for r in rows:
@@ -153,7 +153,7 @@ def slabs(rows: list, size, limit: int = 4 << 20):
         yield out
 
 
-def slices(batches, column: str = "text", limit: int = 4 << 20):
+def slices(batches, column: str = "text", limit: int = 1 << 20):
     """Arrow batches cut so that a column's strings add up to about limit bytes; a longer string stands alone."""
     import pyarrow.compute as pc
 
