@@ -79,8 +79,9 @@ class EntityTable:
 
     def entity(self, value: object, interval: Predicate | None = None, start: Predicate | None = None) -> DataFrame:
         """Rows of one entity; only its shard is read."""
-        shard = self.spark.range(1).select(self.strategy(F.lit(value))).first()[0]
-        return self.scan(interval, start, shard).where(F.col(self.key) == F.lit(value))
+        same = F.lit(value).cast("string" if isinstance(value, str) else "bigint")
+        shard = self.spark.range(1).select(self.strategy(same)).first()[0]
+        return self.scan(interval, start, shard).where(F.col(self.key) == same)
 
     # -- transactions ---------------------------------------------------------------------------
 
@@ -101,6 +102,7 @@ class EntityTable:
         kind = dict(rows.dtypes)[self.key]
         if kind not in ("string", "bigint", "int"):
             raise EntityIdTypeError(f"entity ids can't be {kind}")
+        rows = rows.withColumn(self.key, F.col(self.key).cast("bigint")) if kind == "int" else rows
         self._pending.append(("write", rows.withColumnRenamed(version, "_version"), interval, ts))
 
     def delete(self, ids: DataFrame, interval: str, ts: str, version: str = "_version") -> None:
