@@ -141,7 +141,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int
     rows = docs.select(common.key().alias("k"), common.text().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     seen = rows.join(F.broadcast(chosen), "k").mapInArrow(run, "k long, y int, lang string, source string, n_chars long, words array<long>, rates array<double>")
     got = sorted(seen.limit(2 * (max_labelled + max_pool)).collect(), key=lambda r: (r.k, r.n_chars or 0, r.words))
-    views = _Views([np.array(r.words, np.int64) for r in got], np.array([r.rates for r in got]).reshape(len(got), -1), _metadata([r.lang for r in got], [r.source for r in got], [r.n_chars for r in got]))
+    views = _Views([np.array(r.words, np.int64) for r in got], np.array([r.rates for r in got]) if got else np.zeros((0, 7)), _metadata([r.lang for r in got], [r.source for r in got], [r.n_chars for r in got]))
     return views, np.array([r.y for r in got], int)
 
 

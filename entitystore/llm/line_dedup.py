@@ -9,7 +9,7 @@ rest are later copies.
 A maximal repeated run of ``least`` words or more is the union of the shortest runs of ``least``
 words that start, and of those that end, at each of its lines.  So two names a line settle all runs:
 those of its shortest run onwards and backwards, each from two overlapping names of 2^k lines.  Lines
-without a word are not compared; they go if a later copy has them inside.
+without a word are neither compared nor removed.
 """
 
 from __future__ import annotations
@@ -81,14 +81,14 @@ def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def line_dedup(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, text (without later copies of repeated runs), and columns to keep, of every row.
 
-    A line goes if it lies in a run of lines of ``least`` words or more that also starts earlier.
+    A line with a word goes if it lies in a run of lines of ``least`` words or more that also starts earlier.
     Null or empty text: one line, none removed, text empty.  Rows that repeat an id and a text are
     one text, and alike.  Empty table: no rows.
     """
     gone = later_copies(docs, least).groupBy("k", "h").agg(F.collect_set(F.struct("i", "j")).alias("runs")).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "runs")
     whole = docs.select(common.key().alias("k"), common.text().alias("_text"), *keep).withColumn("h", F.xxhash64("_text"))
     met = whole.join(gone, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").withColumn("lines", common.once(F.split("_text", "\n", -1)))
-    met = met.withColumn("removed", F.when(F.col("runs").isNotNull(), F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["i"], x["j"]))))))
+    met = met.withColumn("removed", F.when(F.col("runs").isNotNull(), common.once(F.filter(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["i"], x["j"])))), lambda i: _pick("lines", i).rlike(WORD)))))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: _pick("lines", i)), "\n"))
     return met.select(
@@ -107,8 +107,8 @@ counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FR
 seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM counted WHERE w > 0),
 pairs AS (SELECT x.doc_id AS d1, y.doc_id AS d2, x.p AS p1, y.p AS p2, y.i AS i2, y.w AS w FROM seq x JOIN seq y ON x.line = y.line AND (x.doc_id, x.p) < (y.doc_id, y.p)),
 marked AS (SELECT *, p2 - row_number() OVER (PARTITION BY d1, d2, p2 - p1 ORDER BY p2) AS g FROM pairs),
-runs AS (SELECT d2, min(i2) AS i, max(i2) AS j FROM marked GROUP BY d1, d2, p2 - p1, g HAVING sum(w) >= 50),
-gone AS (SELECT DISTINCT d2 AS doc_id, unnest(generate_series(i, j)) AS i FROM runs),
+runs AS (SELECT d2, i2, sum(w) OVER (PARTITION BY d1, d2, p2 - p1, g) AS words FROM marked),
+gone AS (SELECT DISTINCT d2 AS doc_id, i2 AS i FROM runs WHERE words >= 50),
 kept AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, string_agg(line, chr(10) ORDER BY raw.i) FILTER (WHERE gone.i IS NULL) AS text
          FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.i = gone.i GROUP BY raw.doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, coalesce(text, '') AS text FROM kept
