@@ -174,8 +174,8 @@ def _is(kind: str):
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """docs with base spans generalised to <kind> and disclosing terms removed; where spans overlap, the first one counts."""
-    of_doc = find(docs, support, share, bits).groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_all"))
-    met = docs.join(of_doc, (common.key() == F.col("k")) & (F.xxhash64(common.text()) == F.col("h")), "left")
+    of_doc = find(docs, support, share, bits).groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_all"))
+    met = docs.join(of_doc, (common.key() == F.col("_k")) & (F.xxhash64(common.text()) == F.col("_h")), "left")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
