@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +134,10 @@ CONTEXT = "rank long, k long, h long, far int, p int, n int, c binary"
 
 
 def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Of each text's tied samples: rank, the text's k and h, far (from the first start to the sample), p, n (n starts from p on), and the bytes [p, p + n - 1 + length)."""
+    """Of each text's tied samples: rank, the text's k and h, far (from the first start to the sample), p, n (n starts from p on), and the bytes [p, p + n - 1 + length).
+
+    The bytes are null if another context of the pack is equal and earlier: then all these starts are later ones.
+    """
 
     def run(batches):
         for b in common.slices(batches):
@@ -152,9 +156,15 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
             yield pack()
 
     def pack() -> pa.RecordBatch:
-        cols = [pa.array(np.concatenate([x[i] for x in parts])) for i in range(6)] + [pa.array([y for x in parts for y in x[6]], pa.binary())]
+        rank, k, h, far, p, n = (np.concatenate([x[i] for x in parts]) for i in range(6))
+        c = [y for x in parts for y in x[6]]
         parts.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["rank", "k", "h", "far", "p", "n", "c"])
+        seen: dict[tuple, int] = {}
+        for i in np.lexsort((p, h, k)).tolist():
+            j = seen.setdefault((rank[i], far[i], n[i], c[i]), i)
+            if i != j and (k[i], h[i], p[i]) != (k[j], h[j], p[j]):  # a repeated row is not earlier than itself
+                c[i] = None
+        return pa.RecordBatch.from_arrays([*map(pa.array, (rank, k, h, far, p, n)), pa.array(c, pa.binary())], names=["rank", "k", "h", "far", "p", "n", "c"])
 
     parts: list[list] = []
     return rows.mapInArrow(run, CONTEXT)
@@ -214,6 +224,12 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame
         kept: list[pa.RecordBatch] = []
         rows, running = 0, None  # running: the rank of a hot bucket under way
         for b in batches:
+            known = pc.is_null(b.column("c"))
+            settled, b = b.filter(known), b.filter(pc.invert(known))
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(settled.num_rows, pa.int64()), settled.column("k"), settled.column("h"), settled.column("p"), pc.add(settled.column("p"), settled.column("n"))], names=["s", "k", "h", "a", "b"])
+            if not b.num_rows:
+                continue
             if running is not None:
                 rank = b.column("rank").to_numpy()
                 cut = len(rank) if (rank == running).all() else int(np.argmax(rank != running))
@@ -240,13 +256,12 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame
         if rows:
             yield from judge(pa.Table.from_batches(kept).combine_chunks())
 
-    return contexts.repartition("rank").sortWithinPartitions("rank").mapInArrow(run, FOUND)
+    deal = F.when(F.col("c").isNull(), F.col("h")).otherwise(F.col("rank"))
+    return contexts.repartition(deal).sortWithinPartitions("rank").mapInArrow(run, FOUND)
 
 
 def _later(found: DataFrame) -> DataFrame:
     """k, h, a, b of all runs of starts whose strings also start earlier."""
-    import pyarrow.compute as pc
-
     def only(settled: bool):
         def run(batches):
             for b in batches:
