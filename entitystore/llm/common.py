@@ -183,3 +183,21 @@ def blocks(rows: DataFrame, by: list[str], size: int = BLOCK) -> list[DataFrame]
     if n <= 1:
         return [rows]
     return [rows.where(F.pmod(F.xxhash64(*by), F.lit(n)) == i) for i in range(n)]
+
+
+#: Keys that may be called frequent, at most.
+FREQUENT = 10_000
+
+
+def frequent(counted: DataFrame, total: int, times: str = "times") -> DataFrame:
+    """The keys, one a row, that hold over 1/FREQUENT of all ``total`` rows, and two at least: fewer than FREQUENT, so they may be broadcast."""
+    return counted.where(F.col(times) > max(1, total // FREQUENT + 1))
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, on: str, total: int, times: str = "times") -> DataFrame:
+    """The inner join of rows with a table of one row a key, which counts the key's rows in ``times``.
+
+    Rows of frequent keys meet them by broadcast and are not shuffled; the others are dealt out by key.
+    """
+    often = F.broadcast(frequent(keyed, total, times))
+    return rows.join(often, on).unionByName(rows.join(often.select(on), on, "left_anti").join(keyed, on))

@@ -8,14 +8,16 @@ property that a difference cover gives for ties, with a thirtieth of the places
 
 1. Sample the first copy of every text; the rank of a sample is the hash of its gram.  Samples
    whose rank occurs once settle all their suffixes: none is repeated.  Ranks that repeat within
-   an Arrow batch are known to be tied there, and send one row to the exchange, not one each.
+   a pack of texts are known to be tied there, and send one row to the exchange, with their number, not one each.
 2. The context of each tied sample (the bytes that its suffixes span) goes to the bucket of its
    rank.  A task takes its buckets in order, a bounded number of contexts at a time, sorts the
-   suffixes of each by distance and content, and marks all but the first of equal ones.  Of a bucket
-   of over ``hot`` contexts, the first of each string in a slab are dealt out anew by hashes of their strings.
+   suffixes of each by distance and content, and marks all but the first of equal ones.  A rank of
+   over ``hot`` samples is salted: its contexts go to as many buckets as it fills slabs, and the first
+   of each string in a slab are dealt out anew by hashes of their strings.
 3. Marked runs of starts, widened to the bytes they cover, meet their texts, and bytes are removed.
 
-Texts are dealt out once, by their hash; the plan reuses that exchange for all three steps.
+Texts are dealt out once, by their hash; the plan reuses that exchange for all three steps.  Copies of
+a text that has many rows are told before and stay where they are.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from . import common
 LENGTH = 100
 GRAM = 24
 HOT = 1 << 18
+#: Samples in a pack; salted ranks that a task may name, which bounds their broadcast to so many a shuffle partition.
+PACK, NAMED = 1 << 20, 1000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 
@@ -90,25 +94,35 @@ def _sampled(t: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return rank.view(np.int64) & ~_LOW, q, p
 
 
-def _tied(reps: DataFrame, length: int, gram: int) -> DataFrame:
-    """rank, h of the samples whose rank occurs twice or more.
+def _tied(reps: DataFrame, length: int, gram: int, hot: int, named: int) -> DataFrame:
+    """rank, h of the samples whose rank occurs twice or more; ranks of over hot samples once more, marked, with their number as h.
 
     A task holds 16 bytes a sample of its partition, which the number of shuffle partitions bounds.
     """
 
     def sample(batches):
+        ranks: list[np.ndarray] = []
+        hashes: list[np.ndarray] = []
         for b in common.slices(batches):
             got = [_sampled(s.encode(), length, gram)[0] for s in b.column("text").to_pylist()]
-            h = np.repeat(b.column("h").to_numpy(), [len(x) for x in got])
-            if not len(h):
-                continue
-            rank = np.concatenate(got)
-            order = np.argsort(rank)
-            rank, h = rank[order], h[order]
-            new = np.concatenate([[True], rank[1:] != rank[:-1]])
-            alone = new & np.append(new[1:], True)
-            mark = new & ~alone
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rank | np.where(alone, ALONE, REPEATED), rank[mark] | MARK])), pa.array(np.concatenate([h, h[mark]]))], names=["rank", "h"])
+            ranks += got
+            hashes.append(np.repeat(b.column("h").to_numpy(), [len(x) for x in got]))
+            if sum(map(len, hashes)) >= PACK:
+                yield pack(ranks, hashes)
+        if sum(map(len, hashes)):
+            yield pack(ranks, hashes)
+
+    def pack(ranks: list, hashes: list) -> pa.RecordBatch:
+        rank, h = np.concatenate(ranks), np.concatenate(hashes)
+        ranks.clear()
+        hashes.clear()
+        order = np.argsort(rank)
+        rank, h = rank[order], h[order]
+        first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+        times = np.diff(np.append(first, len(rank)))
+        alone = np.repeat(times == 1, times)
+        mark = first[times > 1]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rank | np.where(alone, ALONE, REPEATED), rank[mark] | MARK])), pa.array(np.concatenate([h, times[times > 1]]))], names=["rank", "h"])
 
     def keep_tied(batches):
         got = [(b.column("rank").to_numpy(), b.column("h").to_numpy()) for b in batches if b.num_rows]
@@ -120,11 +134,16 @@ def _tied(reps: DataFrame, length: int, gram: int) -> DataFrame:
         known, rank_, h_ = kind == REPEATED, rank & ~_LOW, h
         yield pa.RecordBatch.from_arrays([pa.array(rank_[known]), pa.array(h_[known])], names=["rank", "h"])
         kind, rank, h = kind[~known], rank_[~known], h_[~known]
+        if not len(rank):
+            return
         order = np.argsort(rank)
         kind, rank, h = kind[order], rank[order], h[order]
-        same = rank[1:] == rank[:-1]
-        tied = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (kind == ALONE) if len(rank) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(rank[tied]), pa.array(h[tied])], names=["rank", "h"])
+        first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+        tied = np.repeat(np.diff(np.append(first, len(rank))) > 1, np.diff(np.append(first, len(rank)))) & (kind == ALONE)
+        times = np.add.reduceat(np.where(kind == MARK, h, 1), first)
+        many = np.flatnonzero(times > hot)
+        many = many[np.argsort(-times[many], kind="stable")[:named]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rank[tied], rank[first[many]] | MARK])), pa.array(np.concatenate([h[tied], times[many]]))], names=["rank", "h"])
 
     deal = F.when(F.col("rank").bitwiseAND(F.lit(3)) == REPEATED, F.col("h")).otherwise(F.shiftright("rank", 2))
     return reps.mapInArrow(sample, "rank long, h long").repartition(deal).mapInArrow(keep_tied, "rank long, h long")
@@ -202,8 +221,11 @@ def _ranges(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
 FOUND = "s long, k long, h long, a int, b int"
 
 
-def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame:
-    """Runs of starts whose strings also start earlier; of hot buckets, also the first start of each string in a slab, with the hash s of the string."""
+def _buckets(contexts: DataFrame, many: DataFrame, length: int, hot: int, slab: int) -> DataFrame:
+    """Runs of starts whose strings also start earlier; of hot buckets, also the first start of each string in a slab, with the hash s of the string.
+
+    many: ranks to salt, and their numbers of samples.  A hot bucket that is not among them is streamed in slabs.
+    """
 
     def judge(t: pa.Table, loose: bool = False):
         """Runs of later starts among some contexts; if loose, also the first start of each string, as other contexts may have it earlier."""
@@ -222,12 +244,20 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
+        salted: list[pa.RecordBatch] = []
         rows, running = 0, None  # running: the rank of a hot bucket under way
         for b in batches:
             known = pc.is_null(b.column("c"))
             settled, b = b.filter(known), b.filter(pc.invert(known))
             if settled.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.nulls(settled.num_rows, pa.int64()), settled.column("k"), settled.column("h"), settled.column("p"), pc.add(settled.column("p"), settled.column("n"))], names=["s", "k", "h", "a", "b"])
+            dealt = pc.is_valid(b.column("salt"))
+            more, b = b.filter(dealt), b.filter(pc.invert(dealt))
+            if more.num_rows:
+                salted.append(more)
+                if sum(x.num_rows for x in salted) >= slab:
+                    yield from judge(pa.Table.from_batches(salted).combine_chunks(), loose=True)
+                    salted = []
             if not b.num_rows:
                 continue
             if running is not None:
@@ -255,9 +285,13 @@ def _buckets(contexts: DataFrame, length: int, hot: int, slab: int) -> DataFrame
                 kept, rows, running = [], 0, rank[-1]
         if rows:
             yield from judge(pa.Table.from_batches(kept).combine_chunks())
+        if salted:
+            yield from judge(pa.Table.from_batches(salted).combine_chunks(), loose=True)
 
-    deal = F.when(F.col("c").isNull(), F.col("h")).otherwise(F.col("rank"))
-    return contexts.repartition(deal).sortWithinPartitions("rank").mapInArrow(run, FOUND)
+    salt = F.when(F.col("c").isNotNull(), F.pmod("h", F.ceil(F.col("times") / slab)))
+    deal = F.when(F.col("c").isNull(), F.col("h")).when(F.col("salt").isNotNull(), F.xxhash64("rank", "salt")).otherwise(F.col("rank"))
+    rows = contexts.join(F.broadcast(many), F.col("rank") == F.col("r"), "left").select(*contexts.columns, salt.alias("salt"))
+    return rows.repartition(deal).sortWithinPartitions("rank", "salt").mapInArrow(run, FOUND)
 
 
 def _later(found: DataFrame) -> DataFrame:
@@ -289,7 +323,7 @@ def _cover(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, slab: int = 1 << 13, digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, slab: int = 1 << 13, digest: bool = False, named: int = NAMED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and, unless digest, kept (the bytes that stay).
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a smaller doc_id (then a
@@ -299,12 +333,19 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     common.ship(docs.sparkSession)
     # h deals texts out; g tells apart, all but surely, texts of an equal h.
     shown = docs.select(common.key().alias("k"), common.text().alias("text")).withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
-    first = shown.groupBy("h").agg(F.min(F.struct("k", "g")).alias("f")).select(F.col("h").alias("fh"), "f")
-    texts = shown.join(first, F.col("h") == F.col("fh")).withColumn("copy", (F.col("k") != F.col("f.k")) & (F.col("g") == F.col("f.g"))).select("k", "h", "text", "copy")
+    first = shown.groupBy("h").agg(F.min(F.struct("k", "g")).alias("f"), F.count("*").alias("times")).select(F.col("h").alias("fh"), "f", "times")
+    copy = (F.col("k") != F.col("f.k")) & (F.col("g") == F.col("f.g"))
+    often = F.broadcast(common.frequent(first, docs.count()))
+    told = shown.join(often, F.col("h") == F.col("fh")).where(copy).select("k", "h", "text", F.lit(True).alias("copy"))
+    rest = shown.join(often, F.col("h") == F.col("fh"), "left").where(F.col("f").isNull() | ~copy).select("k", "h", "g", "text")
+    texts = rest.join(first, F.col("h") == F.col("fh")).withColumn("copy", copy).select("k", "h", "text", "copy")
     reps = texts.where("not copy")
-    by_text = _tied(reps.select("h", "text"), length, gram).groupBy("h").agg(F.collect_list("rank").alias("tied")).select(F.col("h").alias("th"), "tied")  # a text's own samples
+    tied = _tied(reps.select("h", "text"), length, gram, hot, named)
+    marked = F.col("rank").bitwiseAND(F.lit(3)) == MARK
+    by_text = tied.where(~marked).groupBy("h").agg(F.collect_list("rank").alias("tied")).select(F.col("h").alias("th"), "tied")  # a text's own samples
+    many = tied.where(marked).select((F.col("rank") - MARK).alias("r"), F.col("h").alias("times"))
     contexts = _contexts(reps.join(by_text, F.col("h") == F.col("th")).select("k", "h", "text", "tied"), length, gram)
-    spans = _later(_buckets(contexts, length, hot, slab)).groupBy("h").agg(F.collect_list(F.struct("k", "a", "b")).alias("s")).select(F.col("h").alias("sh"), "s")
+    spans = _later(_buckets(contexts, many, length, hot, slab)).groupBy("h").agg(F.collect_list(F.struct("k", "a", "b")).alias("s")).select(F.col("h").alias("sh"), "s")
 
     def run(batches):
         for b in common.slices(batches):
@@ -328,8 +369,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
             out = {"doc_id": b.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
             yield pa.RecordBatch.from_pydict(out if digest else out | {"kept": pa.array(rest, pa.binary())})
 
-    whole = texts.join(spans, (F.col("h") == F.col("sh")) & ~F.col("copy"), "left").select(F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), "k", "text", "copy", "s")
-    return whole.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{'' if digest else ', kept binary'}")
+    whole = texts.join(spans, (F.col("h") == F.col("sh")) & ~F.col("copy"), "left").select("k", "text", "copy", "s").unionByName(told.select("k", "text", "copy"), allowMissingColumns=True)
+    return whole.withColumn("doc_id", F.when(F.col("k") != common.NULL_ID, F.col("k"))).mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{'' if digest else ', kept binary'}")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,12 +100,12 @@ def covered(rows, n):
     return out
 
 
-@pytest.mark.parametrize("hot, slab", [(suffix_dedup.HOT, 1 << 13), (3, 8)])
+@pytest.mark.parametrize("hot, slab, named", [(suffix_dedup.HOT, 1 << 13, 1), (3, 8, 1000), (3, 8, 0), (3, 8, 1)])
 @pytest.mark.parametrize("length, gram", [(100, 24), (20, 5)])
-def test_suffix_dedup(spark, hot, slab, length, gram):
+def test_suffix_dedup(spark, hot, slab, named, length, gram):
     rows = texts()
     want = covered(once(rows), length)
-    got = suffix_dedup.suffix_dedup(docs(spark, rows), length, gram, hot, slab).collect()
+    got = suffix_dedup.suffix_dedup(docs(spark, rows), length, gram, hot, slab, named=named).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id], r.doc_id
