@@ -201,3 +201,11 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, on: str, total: int, times: st
     """
     often = F.broadcast(frequent(keyed, total, times))
     return rows.join(often, on).unionByName(rows.join(often.select(on), on, "left_anti").join(keyed, on))
+
+
+def having(rows: DataFrame, keys: DataFrame, on: str, spread: str, block: int = BLOCK, salts: int = 16) -> DataFrame:
+    """Rows whose key is among some different keys: broadcast if they are few, else dealt out by key and a salt from the column ``spread``."""
+    if keys.limit(block + 1).count() <= block:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    salted = keys.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [on, "_salt"], "left_semi").drop("_salt")

@@ -278,3 +278,24 @@ def test_pipeline(spark):
             assert set(after) == set(comp.values()) and all(before[i] == r for i, r in after.items())
         table = out
     assert corpus_pipeline.run(spark, DATA).select("doc_id").distinct().count() == table.count()
+
+
+# -- hot keys -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [0, 1000])
+def test_having(spark, block):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5 * (i > 30)) for i in range(60)], "k long, h long")
+    keys = spark.createDataFrame([(0,), (3,), (9,)], "h long")
+    got = common.having(rows, keys, "h", "k", block)
+    assert got.columns == ["h", "k"] or got.columns == ["k", "h"]
+    assert sorted(r.k for r in got.collect()) == [i for i in range(60) if i % 7 and i % 5 * (i > 30) in (0, 3)]
+
+
+def test_join_keyed(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 == 0 else i) for i in range(60)] + [(60, None)], "k long, h long")
+    keyed = rows.groupBy("h").count().withColumnRenamed("count", "times").where("h is null or h <> 4")
+    assert [r.h for r in common.frequent(keyed, 61).collect()] == [0]
+    got = common.join_keyed(rows, keyed, "h", 61)
+    want = [(i, 0 if i % 3 == 0 else i, 20 if i % 3 == 0 else 1) for i in range(60) if i != 4]
+    assert sorted((r.k, r.h, r.times) for r in got.collect()) == want
