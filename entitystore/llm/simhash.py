@@ -205,11 +205,11 @@ def simhash_groups(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """
     scratch = common.Scratch(docs.sparkSession)
     fps, _ = scratch.save(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min(common.key()).alias("id"))
+    classes = fps.groupBy("fp").agg(F.min(common.key()).alias("id"), F.count("*").alias("times"))
     roots = components(links(classes, scratch, cell), scratch)
-    labelled = classes.join(roots, F.col("id") == F.col("u"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component"))
+    labelled = classes.join(roots, F.col("id") == F.col("u"), "left").select("fp", F.coalesce("root", "id").alias("component"), "times")
     shown = F.when(F.col("component") != common.NULL_ID, F.col("component"))
-    return fps.join(labelled, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown.alias("component_id"))
+    return common.join_keyed(fps, labelled, "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown.alias("component_id"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
