@@ -10,7 +10,8 @@ and near copies of a text count once.  Occurrences of disclosing terms become sp
 ``sanitise`` puts a general name in the place of every span, and removes terms.
 
 Only counts by term and by (term, entity) are shuffled; n(t) is counted over the whole corpus for terms
-that pass the support.  Texts are not shuffled.
+that pass the support.  Texts are shuffled only if more of them hold entities than may be broadcast, and
+then copies of one are salted.
 """
 
 from __future__ import annotations
@@ -96,15 +97,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, scratch: common.Scratch,
     value = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
     entity = spans.select("h", F.concat_ws(":", "kind", value).alias("entity")).distinct()
     texts = entity.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
-    shared, _ = scratch.save(entity.join(texts.select("entity"), "entity"))
-    each = docs.select(common.text().alias("text")).withColumn("h", F.xxhash64("text"))
+    shared, _ = scratch.save(common.join_keyed(entity, texts, "entity", entity.count(), "texts").select("h", "entity"))
+    each = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
     # Only texts with a base span; the filter is by pattern, so that texts are not shuffled.
     held = each.where(reduce(lambda a, b: a | b, ((F.contains("text", F.lit(HOLDS[kind])) if kind in HOLDS else F.lit(True)) & F.rlike("text", F.lit(pattern)) for kind, pattern in PATTERNS.items())))
     own = F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), 0) for p in PATTERNS.values()))), F.lower))
     context = F.min(F.xxhash64("before", "after")).alias("context")
-    ids = shared.select("h").distinct()
-    few = ids.limit(common.BLOCK + 1).count() <= common.BLOCK  # broadcast only if that few; else both sides are dealt by h
-    said = _said(held.join(F.broadcast(ids) if few else ids, "h", "left_semi").withColumn("own", common.once(own))).where(~F.exists("own", lambda o: F.contains(o, F.col("term"))))
+    said = _said(common.having(held, shared.select("h").distinct(), "h", "k").withColumn("own", common.once(own))).where(~F.exists("own", lambda o: F.contains(o, F.col("term"))))
     near, _ = scratch.save(said.groupBy("h", "term").agg(context))
     pairs = near.join(shared, "h").groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
 
@@ -140,7 +139,7 @@ def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: fl
         return base
     rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
     hit = reduce(DataFrame.unionByName, [_said(rows.select("h", "text")).join(F.broadcast(part), "term", "left_semi").select("h") for part in common.blocks(terms, ["term"])]).distinct()
-    words = _located(rows.join(hit, "h", "left_semi").withColumn("_r", F.monotonically_increasing_id()), "text", WORD).drop("_r").distinct()
+    words = _located(common.having(rows, scratch.save(hit)[0], "h", "k").withColumn("_r", F.monotonically_increasing_id()), "text", WORD).drop("_r").distinct()
     bare = F.btrim("value", F.lit(MARKS))
     lead = F.length("value") - F.length(F.ltrim("value", F.lit(MARKS)))
     cut = words.select("k", "h", (F.col("start") + lead).alias("start"), bare.alias("value"), F.lower(bare).alias("term"))
