@@ -130,7 +130,7 @@ def span(fp: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _runs(batches, names: list[str], least: int):
-    """Arrays of some columns by batch, so cut that a run of an equal first column is whole unless it has over ``least`` rows."""
+    """Arrays of some columns by batch, so cut that a run of an equal first column is whole unless it has over ``least`` rows; the rest of such a run follows in pieces of any size."""
     kept = None
     for b in batches:
         got = [b.column(c).to_numpy() for c in names]
@@ -160,16 +160,23 @@ def links(classes: DataFrame, scratch: common.Scratch, cell: int = CELL) -> Data
     rows = classes.select("fp", "id", unary.alias("e")).select(cells.alias("cell"), "fp", "id")
 
     def meet(batches):
+        cut = None  # the last cell left to blocks: rows of it that come later go there too, however few
         for k, fp, ids in _runs(batches, ["cell", "fp", "id"], cell):
             f = fp.view(np.uint64)
             a: list[np.ndarray] = []
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             size, first = np.diff(edge), edge[:-1]
-            two = first[size == 2]
+            big = size > cell
+            if cut is not None:
+                big |= k[first] == cut
+            if big.any():
+                cut = k[first[big][-1]]
+            two = first[(size == 2) & ~big]
             ok = two[near(f[two], f[two + 1])]
             a.append(np.stack([ids[ok], ids[ok + 1], np.zeros(len(ok), np.int64), np.zeros(len(ok), np.int64)], 1))
-            for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                if n > cell:  # left to blocks
+            some = big | (size > 2)
+            for s, n, b in zip(first[some].tolist(), size[some].tolist(), big[some].tolist(), strict=True):
+                if b:  # left to blocks
                     a.append(np.stack([fp[s : s + n], ids[s : s + n], k[s : s + n], np.ones(n, np.int64)], 1))
                 elif e := span(f[s : s + n]):
                     e = ids[s + np.array(e)]

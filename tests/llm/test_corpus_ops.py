@@ -79,6 +79,29 @@ def test_links_of_chains_and_clusters(spark):
         assert {i: roots.get(i, i) for i in range(len(fps))} == want
 
 
+def test_links_of_a_cell_read_in_pieces(spark):
+    """Pairs that meet in one cell only, which is large and comes in batches far smaller than it."""
+    rng = np.random.default_rng(6)
+    fps = set()
+    for _ in range(60):
+        x = sum(int(rng.integers(0, 2)) << b for b in range(32, 64))
+        fps |= {x, x ^ (1 << 33) ^ (1 << 47) ^ (1 << 60)}
+    fps = sorted(fps)
+    rng.shuffle(fps)
+    want = linked(list(enumerate(fps)))
+    name, cell = "spark.sql.execution.arrow.maxRecordsPerBatch", 16
+    old = spark.conf.get(name)
+    try:
+        for batch in (5, 17, 50):
+            spark.conf.set(name, batch)
+            classes = spark.createDataFrame([(x - 2**64 if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, id long")
+            scratch = common.Scratch(spark)
+            roots = {r.u: r.root for r in simhash.components(simhash.links(classes, scratch, cell), scratch).collect()}
+            assert {i: roots.get(i, i) for i in range(len(fps))} == want, batch
+    finally:
+        spark.conf.set(name, old)
+
+
 # -- suffixes -----------------------------------------------------------------------------------
 
 
