@@ -53,16 +53,19 @@ def fingerprint(t: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row, and h (the text's hash) if hashed."""
     common.ship(docs.sparkSession)
+    kept = ["doc_id", "h"] if hashed else ["doc_id"]
 
     def run(batches):
         for b in common.slices(batches):
             fp = np.array([fingerprint(s.encode()) for s in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fp, pa.int64())], names=[*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text().alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")) if hashed else rows
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -203,21 +206,46 @@ def links(classes: DataFrame, scratch: common.Scratch, cell: int = CELL) -> Data
     return plain.unionByName(more)
 
 
+def _classes(fps: DataFrame, scratch: common.Scratch, cell: int, *least: Column) -> DataFrame:
+    """Of each different fingerprint: fp, times (its rows), root (the least fingerprint reachable over links) and the given least values of its component.
+
+    Links join fingerprints, not ids: ids that repeat, the null id among them, join nothing.
+    """
+    names = [f"m{i}" for i in range(len(least))]
+    classes, _ = scratch.save(fps.groupBy("fp").agg(F.count("*").alias("times"), *(F.min(c).alias(n) for c, n in zip(least, names, strict=True))))
+    far = components(links(classes.select("fp", F.col("fp").alias("id")), scratch, cell), scratch).select("u", "root")
+    roots, _ = scratch.save(far.unionByName(far.select(F.col("root").alias("u"), "root").distinct()))  # a root is its own
+    # Most fingerprints have no link and are components of their own.
+    met = classes.drop("times").join(roots, F.col("fp") == F.col("u")).select("root", *names)
+    of_root = met.groupBy("root").agg(F.count("*").alias("size"), *(F.min(n).alias(n) for n in names))
+    linked = common.join_keyed(roots, of_root, "root", roots.count(), "size").select("u", "root", *(F.col(n).alias(f"r{i}") for i, n in enumerate(names)))
+    both = classes.join(linked, F.col("fp") == F.col("u"), "left")
+    return both.select("fp", "times", F.coalesce("root", "fp").alias("root"), *(F.coalesce(f"r{i}", n).alias(n) for i, n in enumerate(names)))
+
+
 def simhash_groups(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs.
 
     component_id is the least doc_id reachable over links of fingerprints with at most three
     differing bits.  Null or empty text: fingerprint zero, linked like any other.  Repeated rows: a
-    row each, alike.  A null id counts as an id and is shown as null.  Empty table: no rows.
+    row each, alike.  A null id counts as an id and is shown as null.  Rows that share an id but not
+    a text join no groups; groups whose least id is the same show the same component_id.  Empty
+    table: no rows.
     """
     scratch = common.Scratch(docs.sparkSession)
     fps, _ = scratch.save(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min(common.key()).alias("id"), F.count("*").alias("times"))
-    roots = components(links(classes, scratch, cell), scratch)
-    labelled = classes.join(roots, F.col("id") == F.col("u"), "left").select("fp", F.coalesce("root", "id").alias("component"), "times")
+    labelled = _classes(fps, scratch, cell, common.key()).select("fp", F.col("m0").alias("component"), "times")
     shown = F.when(F.col("component") != common.NULL_ID, F.col("component"))
     return common.join_keyed(fps, labelled, "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown.alias("component_id"))
 
 
+def survivors(docs: DataFrame, cell: int = CELL) -> DataFrame:
+    """k, h (id and text hash) of one document of each group of near duplicates: the one of the least id, then of the least hash."""
+    scratch = common.Scratch(docs.sparkSession)
+    fps, _ = scratch.save(fingerprints(docs, hashed=True))
+    first = F.struct(common.key().alias("k"), F.col("h").alias("h"))
+    return _classes(fps, scratch, cell, first).select("root", "m0.k", "m0.h").distinct().select("k", "h")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(common.table(spark, sf_dir, "documents"))

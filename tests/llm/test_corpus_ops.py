@@ -303,6 +303,24 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).select("doc_id").distinct().count() == table.count()
 
 
+def test_simhash_stage_with_repeated_ids(spark):
+    """A document of each group stays, whatever ids repeat or are null."""
+    rng = np.random.default_rng(8)
+    prose = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(9)]
+    near = prose[0] + " "
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[2]), (None, prose[2]), (4, prose[3]), (4, prose[4]), (5, near), (6, prose[4]), (7, prose[5]), (4, prose[6]), (8, None), (None, "")]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(fingerprint(t or ""), set()).add((order((i,))[0], i, t))
+    assert len(linked([(n, x) for n, x in enumerate(groups)])) == len({*linked([(n, x) for n, x in enumerate(groups)]).values()}) == 8
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, docs(spark, rows), DATA).collect()]
+    want = [min(g, key=lambda x: (x[0], x[2] or ""))[1:] for g in groups.values()]
+    assert Counter(got) == Counter(want)
+    comp = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_groups(docs(spark, rows)).collect()}
+    assert comp[4, f"{fingerprint(prose[3]):016x}"] == 4 == comp[6, f"{fingerprint(prose[4]):016x}"] and comp[7, f"{fingerprint(prose[5]):016x}"] == 7
+    assert comp[5, f"{fingerprint(near):016x}"] is None
+
+
 # -- hot keys -----------------------------------------------------------------------------------
 
 
