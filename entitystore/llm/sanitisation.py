@@ -35,6 +35,8 @@ PATTERNS = {
 }
 #: A character that every match holds, to skip texts cheaply.
 HOLDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What a text must hold for a match of the pattern to count, where the pattern alone says little.
+LEAST = {"card": r"[0-9](?:[\x20-]?[0-9]){13}"}
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = ".,;:!?\"'()[]{}<>|#*$%&/=_~`^+-"
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
@@ -71,6 +73,29 @@ def _located(rows: DataFrame, text: str, pattern: str, holds: str | None = None)
     return each.select(*names, "value", (end - F.length("value")).alias("start"), end.alias("end"))
 
 
+def _blanked(text: str) -> Column:
+    """A text of the same length with a space for each character of its base spans."""
+    t = F.col(text)
+
+    def piece(kind: str):
+        """A gap and the match after it, if there is one."""
+        return lambda g, m: F.concat(g, F.when(m.isNull(), F.lit("")).when(_passes(kind, m), F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+
+    parts = []
+    for kind, pattern in PATTERNS.items():
+        pieces = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), 0), piece(kind))
+        may = F.contains(t, F.lit(HOLDS[kind])) if kind in HOLDS else F.lit(True)
+        parts.append(F.when(may & F.rlike(t, F.lit(LEAST.get(kind, pattern))), F.array_join(pieces, "")).otherwise(t))
+
+    def both(a: Column, b: Column) -> Column:
+        """Blank where either is; character by character only if both differ from the text."""
+        each = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == " ", x).otherwise(y))
+        return F.when(a == t, b).when((b == t) | (a == b), a).otherwise(F.array_join(each, ""))
+
+    # One lambda's argument holds all parts, so that each is computed once.
+    return F.aggregate(F.array(*parts), t, both)
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """k, h (document), kind, value, start, end of the base spans; rows that repeat an id and a text give them once."""
     rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
@@ -84,8 +109,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _said(rows: DataFrame) -> DataFrame:
-    """The other columns of rows, and each word of its text: term (lower case, no marks at its ends), before and after (the words beside it)."""
-    w = rows.withColumn("_w", common.once(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).where(F.size("_w") > 0)
+    """The other columns of rows, and each word of its text outside the base spans: term (lower case, no marks at its ends), before and after (the words beside it)."""
+    bare = rows.withColumn("text", common.once(_blanked("text")))
+    w = bare.withColumn("_w", common.once(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).where(F.size("_w") > 0)
     none = F.array(F.lit(""))
     beside = w.withColumn("_x", F.explode(F.arrays_zip("_w", F.concat(none, "_w").alias("b"), F.concat(F.slice("_w", 2, F.size("_w")), none).alias("a"))))
     out = beside.select(*(c for c in rows.columns if c != "text"), F.btrim("_x._w", F.lit(MARKS)).alias("term"), F.col("_x.b").alias("before"), F.col("_x.a").alias("after"))
@@ -101,9 +127,8 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, scratch: common.Scratch,
     each = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
     # Only texts with a base span; the filter is by pattern, so that texts are not shuffled.
     held = each.where(reduce(lambda a, b: a | b, ((F.contains("text", F.lit(HOLDS[kind])) if kind in HOLDS else F.lit(True)) & F.rlike("text", F.lit(pattern)) for kind, pattern in PATTERNS.items())))
-    own = F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), 0) for p in PATTERNS.values()))), F.lower))
     context = F.min(F.xxhash64("before", "after")).alias("context")
-    said = _said(common.having(held, shared.select("h").distinct(), "h", "k").withColumn("own", common.once(own))).where(~F.exists("own", lambda o: F.contains(o, F.col("term"))))
+    said = _said(common.having(held, shared.select("h").distinct(), "h", "k"))
     near, _ = scratch.save(said.groupBy("h", "term").agg(context))
     pairs = near.join(shared, "h").groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
 
@@ -139,7 +164,7 @@ def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: fl
         return base
     rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
     hit = reduce(DataFrame.unionByName, [_said(rows.select("h", "text")).join(F.broadcast(part), "term", "left_semi").select("h") for part in common.blocks(terms, ["term"])]).distinct()
-    words = _located(common.having(rows, scratch.save(hit)[0], "h", "k").withColumn("_r", F.monotonically_increasing_id()), "text", WORD).drop("_r").distinct()
+    words = _located(common.having(rows, scratch.save(hit)[0], "h", "k").withColumn("text", common.once(_blanked("text"))).withColumn("_r", F.monotonically_increasing_id()), "text", WORD).drop("_r").distinct()
     bare = F.btrim("value", F.lit(MARKS))
     lead = F.length("value") - F.length(F.ltrim("value", F.lit(MARKS)))
     cut = words.select("k", "h", (F.col("start") + lead).alias("start"), bare.alias("value"), F.lower(bare).alias("term"))

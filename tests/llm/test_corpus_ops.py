@@ -268,6 +268,25 @@ def test_disclosing_terms(spark):
     assert clean[200] == "nobody but : is here" and clean[100] == "n0 , m0 and here x0 <email> y0" and clean[0] == rows[0][1]
 
 
+def test_disclosing_terms_that_form_an_address(spark):
+    odd = ["🙂 a@b.c_x@d.e.f é +1 (743) 555-38244 x 4111 1111 1111 1111, 1.2.3.4", "+49 4111 1111 1111 1111 1", "1 22 333", "", "a.b@" * 500, "+1 202 555 0199 a@b.cc"]
+    for r in spark.createDataFrame([(t,) for t in odd], "text string").withColumn("b", sanitisation._blanked("text")).collect():
+        want = list(r.text)
+        for kind, p in BASE.items():
+            for m in re.finditer(p, r.text):
+                if passes(kind, m[0]):
+                    want[m.start() : m.end()] = " " * len(m[0])
+        assert r.b == "".join(want)
+    rows = [(i, f"plain p{i} and q{i} here r{i} there") for i in range(90)]
+    rows += [(100 + i, f"n{i} Jane m{i} or k{i} Quux l{i} writes x{i} jane.doe@quux.example.org y{i}") for i in range(5)]
+    got = {r.doc_id: (r.text, r.spans) for r in docs(spark, rows).select("doc_id", "text").join(sanitisation.personal_data(docs(spark, rows)).select("doc_id", "spans"), "doc_id").collect()}
+    for i in range(5):
+        text, spans = got[100 + i]
+        found = {text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in spans.split(",")) if kind == "term"}
+        assert {"Jane", "Quux"} <= found and "jane.doe@quux.example.org" not in found
+    assert all(got[i][1] == "" for i in range(90))
+
+
 # -- classifier and pipeline --------------------------------------------------------------------
 
 
