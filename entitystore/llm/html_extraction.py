@@ -39,31 +39,40 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+#: Containers of the main text, whose class, id or role does not matter.
+WHOLE = frozenset("body main".split())
 
 #: What a block's place says: 0 no article on the page, 1 inside one, -1 outside one.
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "dropped", "article")
 
 
-def _container(tag: str, rest: str, inside: bool) -> bool:
-    """Whether a container is one to drop."""
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True
-    for m in _NAMED.findall(rest):
-        for w in _SPLIT.split("".join(m).lower()):
-            if w in SIGNS or (w in HEAD_SIGNS and not inside):
-                return True
-    return False
+def _container(tag: str, inside: bool) -> bool:
+    """Whether a container is one to drop by its tag."""
+    return tag in DROPPED or (tag == "header" and not inside)
+
+
+def _signed(tag: str, rest: str, inside: bool) -> bool:
+    """Whether a container's class, id or role has a word, whole, that tells to drop it."""
+    if tag in WHOLE:
+        return False
+    return any(w in SIGNS or (w in HEAD_SIGNS and not inside) for m in _NAMED.findall(rest) for w in "".join(m).lower().split())
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
-    """The texts of a page's blocks, in order, and a row of features each."""
+    """The texts of a page's blocks, in order, and a row of features each.
+
+    The signs of a container that holds the page's first article, or a main, are ignored, for the
+    blocks before it too; so are those of that article.
+    """
     texts: list[str] = []
-    own: list[tuple[int, float, bool, bool]] = []
+    own: list[tuple[int, float, tuple[int, ...], bool]] = []
     parts: list[str] = []
     words = linked = links = 0
     stack: list[tuple[str, bool, bool]] = []
-    dropped = article = 0
+    open_drops: list[int] = []  # numbers of the open containers that are dropped
+    signed: set[int] = set()  # those dropped for their signs only
+    ignored: set[int] = set()
+    number = article = 0
     any_article = False
 
     def close() -> None:
@@ -72,7 +81,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         parts.clear()
         if s:
             texts.append(s)
-            own.append((len(s.split()), linked / max(1, words), dropped > 0, article > 0))
+            own.append((len(s.split()), linked / max(1, words), tuple(open_drops), article > 0))
         words = linked = 0
 
     for m in _TOKEN.finditer(page):
@@ -99,15 +108,25 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if not m["close"]:
             if tag in VOID or m["rest"].endswith("/"):
                 continue
-            entry = (tag, _container(tag, m["rest"], article > 0), tag in ("article", "main"))
+            first = tag == "main" or (tag == "article" and not any_article)
+            if first:
+                ignored |= signed.intersection(open_drops)
+            by_tag = _container(tag, article > 0)
+            drop = by_tag or (not first and _signed(tag, m["rest"], article > 0))
+            entry = (tag, drop, tag in ("article", "main"))
             stack.append(entry)
-            dropped += entry[1]
+            if drop:
+                number += 1
+                open_drops.append(number)
+                if not by_tag:
+                    signed.add(number)
             article += entry[2]
             any_article |= entry[2]
         elif any(x[0] == tag for x in stack):
             while stack:
                 x = stack.pop()
-                dropped -= x[1]
+                if x[1]:
+                    open_drops.pop()
                 article -= x[2]
                 if x[0] == tag:
                     break
@@ -115,7 +134,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     n = len(own)
     f = np.zeros((n + 2, len(FEATURES)))
     for i, (w, l, d, a) in enumerate(own):
-        f[i + 1, [0, 1, 6, 7]] = w, l, d, (1 if a else -1) if any_article else 0
+        f[i + 1, [0, 1, 6, 7]] = w, l, any(x not in ignored for x in d), (1 if a else -1) if any_article else 0
     f[1:-1, 2:4], f[1:-1, 4:6] = f[:-2, 0:2], f[2:, 0:2]
     return texts, f[1:-1]
 

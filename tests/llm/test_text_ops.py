@@ -124,6 +124,20 @@ def test_html(spark):
     assert html_extraction.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single has-sidebar'><div>{0}</div></body>", "<body class='ad'><p>{0}</p></body>", "<body><div class='post ad-free'><p>{0}</p></div></body>",
+        "<body><div class='share'><p>{0}</p><article class='comment'><p>{1}</p></article></div></body>", "<body><main class='search'><p>{0}</p></main></body>",
+    ],
+)
+def test_html_signs_on_wrappers(page):
+    text = [" ".join(f"{n}{i}" for i in range(60)) + "." for n in "xy"]
+    other = "<div class='comments'>" + " ".join(f"z{i}" for i in range(60)) + "</div>"
+    got = html_extraction.main_text(page.format(*text).replace("</body>", other + "</body>"))
+    assert (text[1] if "{1}" in page else text[0]) in got and "z5" not in got
+
+
 def test_html_on_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     told = {r.page_id: r.text for r in html_extraction.extract(rows).collect()}
