@@ -3,12 +3,17 @@
 A page is read once, tag by tag, into flat blocks of text; tags that are not inline end a block.
 A block's features are its words and link density, those of its neighbours, and what its open
 containers say.  A decision tree, grown from the labelled table below, keeps or drops each block.
+
+Reading takes time in proportion to the page, whatever it holds: a quote counts only as the value of an
+attribute, and once a tag's quotes never end, those of later tags are not believed either.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,17 +33,14 @@ SIGNS = frozenset(
     " newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription widget".split()
 )
 HEAD_SIGNS = frozenset("header banner masthead".split())
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|select|svg|math|iframe|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[/a-zA-Z][^<>]*\Z"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content is no text of the page: to their end tag, or, if it is missing, to the page's end (code) or not at all (others).
+CODE = frozenset("script style".split())
+OPAQUE = CODE | frozenset("audio canvas iframe math noscript object select svg template textarea title video".split())
+
+_MARKUP = re.compile(r"<(?:(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|(?P<odd>[!?]))")
+_REST = re.compile(r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>")
+_NAMED = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_END = {name: re.compile(rf"</{name}(?![^\s/>])[^>]*+>?", re.I) for name in OPAQUE}
 #: Containers of the main text, whose class, id or role does not matter.
 WHOLE = frozenset("body main".split())
 
@@ -46,6 +48,49 @@ WHOLE = frozenset("body main".split())
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "dropped", "article")
 
 
+def markup(page: str) -> Iterator[tuple[str | None, str, bool, str]]:
+    """The texts and tags of a page in order: (text, "", False, ""), or (None, tag in lower case, whether it closes, what else it holds)."""
+    start = at = 0
+    quoted, unended = True, set()
+    while (p := page.find("<", at)) >= 0:
+        m = _MARKUP.match(page, p)
+        if not m:  # a sign, not a tag
+            at = p + 1
+            continue
+        if m["odd"]:
+            comment = page.startswith("<!--", p)
+            e = page.find("-->" if comment else ">", p + 2)
+            yield page[start:p], "", False, ""
+            if e < 0:
+                return
+            start = at = e + (3 if comment else 1)
+            continue
+        end = _REST.match(page, m.end()) if quoted else None
+        quoted = end is not None
+        e = end.end() - 1 if end else page.find(">", m.end())
+        if e < 0:  # no tag ends any more; the last one is cut off, the others are text
+            last = page.rfind("<")
+            yield page[start : last if _MARKUP.match(page, last) else len(page)], "", False, ""
+            return
+        if start < p:
+            yield page[start:p], "", False, ""
+        tag, rest = m["tag"].lower(), page[m.end() : e]
+        start = at = e + 1
+        if tag not in OPAQUE:
+            yield None, tag, bool(m["close"]), rest
+            continue
+        yield " ", "", False, ""
+        if m["close"] or tag in unended or (tag in ("svg", "math") and rest.endswith("/")):
+            continue
+        if stop := _END[tag].search(page, at):
+            start = at = stop.end()
+        elif tag in CODE:
+            return
+        else:
+            unended.add(tag)
+    yield page[start:], "", False, ""
+
+
 def _container(tag: str, inside: bool) -> bool:
     """Whether a container is one to drop by its tag."""
     return tag in DROPPED or (tag == "header" and not inside)
@@ -58,6 +103,15 @@ def _signed(tag: str, rest: str, inside: bool) -> bool:
     return any(w in SIGNS or (w in HEAD_SIGNS and not inside) for m in _NAMED.findall(rest) for w in "".join(m).lower().split())
 
 
+def matrix(rows: list[tuple[int, float, bool, int]]) -> np.ndarray:
+    """Features of a page's blocks from words, link density, dropped and article of each."""
+    f = np.zeros((len(rows) + 2, len(FEATURES)))
+    if rows:
+        f[1:-1, [0, 1, 6, 7]] = rows
+    f[1:-1, 2:4], f[1:-1, 4:6] = f[:-2, 0:2], f[2:, 0:2]
+    return f[1:-1]
+
+
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """The texts of a page's blocks, in order, and a row of features each.
 
@@ -65,14 +119,13 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     blocks before it too; so are those of that article.
     """
     texts: list[str] = []
-    own: list[tuple[int, float, tuple[int, ...], bool]] = []
+    own: list[tuple[int, float, int, bool]] = []  # words, link density, innermost dropped container (0: none), in an article
     parts: list[str] = []
     words = linked = links = 0
-    stack: list[tuple[str, bool, bool]] = []
-    open_drops: list[int] = []  # numbers of the open containers that are dropped
-    signed: set[int] = set()  # those dropped for their signs only
-    ignored: set[int] = set()
-    number = article = 0
+    stack: list[tuple[str, int, bool]] = []  # tag, number if dropped, whether an article
+    depth: Counter[str] = Counter()
+    outer, by_tag, ignored = [0], [True], [True]  # of each dropped container, by number: the one around it, whether its tag drops it, whether its signs are ignored
+    inner = article = 0
     any_article = False
 
     def close() -> None:
@@ -81,120 +134,163 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         parts.clear()
         if s:
             texts.append(s)
-            own.append((len(s.split()), linked / max(1, words), tuple(open_drops), article > 0))
+            own.append((len(s.split()), linked / max(1, words), inner, article > 0))
         words = linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if (t := m["text"]) is not None:
-            t = html.unescape(t)
+    for text, tag, closes, rest in markup(page):
+        if text is not None:
+            t = html.unescape(text)
             parts.append(t)
             n = len(t.split())
             words += n
             linked += n if links > 0 else 0
             continue
-        if m["raw"]:
-            parts.append(" ")
-            continue
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
         if tag in INLINE:
             if tag == "a":
-                links = max(0, links - 1) if m["close"] else links + 1
+                links = max(0, links - 1) if closes else links + 1
             continue
         close()
         if tag not in CONTAINER and tag not in DROPPED:
             continue
-        if not m["close"]:
-            if tag in VOID or m["rest"].endswith("/"):
+        if not closes:
+            if tag in VOID or rest.endswith("/"):
                 continue
-            first = tag == "main" or (tag == "article" and not any_article)
-            if first:
-                ignored |= signed.intersection(open_drops)
-            by_tag = _container(tag, article > 0)
-            drop = by_tag or (not first and _signed(tag, m["rest"], article > 0))
-            entry = (tag, drop, tag in ("article", "main"))
-            stack.append(entry)
+            whole = tag == "main" or (tag == "article" and not any_article)
+            if whole:
+                x = inner
+                while x and not ignored[x]:  # those around an ignored one were ignored with it
+                    ignored[x] = not by_tag[x]
+                    x = outer[x] if ignored[x] else 0
+            named = _container(tag, article > 0)
+            drop = named or (not whole and _signed(tag, rest, article > 0))
             if drop:
-                number += 1
-                open_drops.append(number)
-                if not by_tag:
-                    signed.add(number)
-            article += entry[2]
-            any_article |= entry[2]
-        elif any(x[0] == tag for x in stack):
+                outer.append(inner)
+                by_tag.append(named)
+                ignored.append(False)
+                inner = len(outer) - 1
+            stack.append((tag, inner if drop else 0, tag in ("article", "main")))
+            depth[tag] += 1
+            article += stack[-1][2]
+            any_article |= stack[-1][2]
+        elif depth[tag]:
             while stack:
-                x = stack.pop()
-                if x[1]:
-                    open_drops.pop()
-                article -= x[2]
-                if x[0] == tag:
+                name, number, main = stack.pop()
+                depth[name] -= 1
+                if number:
+                    inner = outer[number]
+                article -= main
+                if name == tag:
                     break
     close()
-    n = len(own)
-    f = np.zeros((n + 2, len(FEATURES)))
-    for i, (w, l, d, a) in enumerate(own):
-        f[i + 1, [0, 1, 6, 7]] = w, l, any(x not in ignored for x in d), (1 if a else -1) if any_article else 0
-    f[1:-1, 2:4], f[1:-1, 4:6] = f[:-2, 0:2], f[2:, 0:2]
-    return texts, f[1:-1]
+    gone = [False]  # whether a dropped container, or one around it, counts
+    for x in range(1, len(outer)):
+        gone.append(not ignored[x] or gone[outer[x]])
+    return texts, matrix([(w, l, gone[d], (1 if a else -1) if any_article else 0) for w, l, d, a in own])
 
 
-#: Labelled blocks: the features in their order, then 1 for main text.
+#: Labelled blocks of some pages, parted by empty lines: words, link density, dropped, article, and 1 for main text.
 LABELLED = """
-6 1.0 6 1.0 6 1.0 1 -1 0
-1 1.0 0 0.0 1 1.0 1 -1 0
-1 1.0 1 1.0 8 0.0 1 -1 0
-8 0.0 1 1.0 9 0.0 1 -1 0
-12 0.0 5 0.3 60 0.0 1 -1 0
-9 0.0 8 0.0 80 0.0 0 1 1
-1 0.0 40 0.0 70 0.0 0 1 1
-2 0.0 2 0.0 3 0.0 0 1 1
-120 0.0 9 0.0 90 0.0 0 1 1
-75 0.05 60 0.0 30 0.1 0 1 1
-30 0.2 45 0.0 12 0.0 0 1 1
-4 0.0 66 0.0 10 0.0 0 1 1
-3 1.0 50 0.0 44 0.0 0 1 1
-15 0.0 90 0.0 0 0.0 1 -1 0
-10 0.1 15 0.0 0 0.0 1 -1 0
-25 0.0 30 0.0 22 0.0 1 1 0
-40 0.0 25 0.0 35 0.0 1 1 0
-7 0.6 40 0.0 3 1.0 1 1 0
-90 0.0 70 0.0 10 0.2 1 1 0
-60 0.0 12 0.5 14 0.6 1 -1 0
-20 0.0 3 1.0 5 1.0 0 -1 0
-55 0.0 9 0.0 4 0.8 0 -1 0
-5 0.0 0 0.0 3 1.0 0 -1 0
-4 0.9 12 0.0 4 0.9 0 -1 0
-5 1.0 5 1.0 5 1.0 0 0 0
-2 0.5 3 1.0 2 1.0 0 0 0
-3 1.0 4 1.0 60 0.0 0 0 0
-7 0.0 3 1.0 75 0.0 0 0 1
-80 0.0 7 0.0 95 0.02 0 0 1
-45 0.1 80 0.0 50 0.0 0 0 1
-18 0.0 60 0.0 65 0.1 0 0 1
-5 0.0 44 0.0 58 0.0 0 0 1
-2 0.0 38 0.0 41 0.0 0 0 1
-65 0.3 50 0.1 20 0.0 0 0 1
-24 0.8 6 1.0 7 1.0 0 0 0
-12 0.7 60 0.0 8 0.9 0 0 0
-8 0.0 5 1.0 6 1.0 0 0 0
-4 0.0 2 1.0 3 1.0 0 0 0
-6 0.0 90 0.0 2 1.0 0 0 0
-10 0.3 4 0.8 0 0.0 0 0 0
-9 0.0 0 0.0 0 0.0 0 0 1
-50 0.0 0 0.0 0 0.0 0 0 1
-1 0.0 0 0.0 0 0.0 0 0 1
-28 0.0 0 0.0 0 0.0 1 0 0
-33 0.1 40 0.0 6 0.5 1 0 0
-70 0.0 55 0.0 62 0.0 1 0 0
+6 1.0 1 -1 0
+1 1.0 1 -1 0
+8 0.0 1 -1 0
+9 0.0 0 1 1
+60 0.0 0 1 1
+2 0.0 0 1 1
+1 0.0 0 1 1
+120 0.05 0 1 1
+30 0.5 0 1 1
+45 0.0 0 1 1
+15 0.0 1 -1 0
+
+5 1.0 0 -1 0
+12 0.0 0 -1 0
+4 1.0 0 1 1
+75 0.0 0 1 1
+3 1.0 0 1 1
+3 1.0 0 1 1
+18 0.8 0 1 1
+4 0.0 0 1 1
+25 0.0 1 1 0
+40 0.0 1 1 0
+7 0.6 1 1 0
+20 0.0 0 -1 0
+4 1.0 0 -1 0
+
+9 0.0 0 -1 0
+80 0.0 0 -1 1
+70 0.1 0 -1 1
+110 0.0 0 -1 1
+30 0.0 0 -1 0
+12 0.0 0 1 1
+24 0.0 0 1 1
+16 0.9 0 -1 0
+35 0.6 0 -1 0
+22 0.0 0 -1 0
+
+3 1.0 1 0 0
+4 1.0 1 0 0
+8 0.0 0 0 1
+55 0.0 0 0 1
+42 0.4 0 0 1
+65 0.0 0 0 1
+5 1.0 1 0 0
+3 1.0 1 0 0
+10 0.0 1 0 0
+
+5 1.0 0 0 0
+2 1.0 0 0 0
+3 1.0 0 0 0
+7 0.0 0 0 1
+80 0.0 0 0 1
+2 0.0 0 0 1
+45 0.1 0 0 1
+26 0.5 0 0 1
+18 0.0 0 0 1
+90 0.02 0 0 1
+5 0.0 0 0 1
+2 0.0 0 0 0
+6 1.0 0 0 0
+7 1.0 0 0 0
+3 0.0 0 0 0
+8 0.9 0 0 0
+24 0.8 0 0 0
+6 1.0 0 0 0
+4 0.0 0 0 0
+2 1.0 0 0 0
+10 0.3 0 0 0
+
+9 0.0 0 0 1
+50 0.0 0 0 1
+
+1 0.0 0 0 1
+
+28 0.0 1 0 0
+33 0.1 1 0 0
+70 0.0 1 0 0
+14 0.0 0 0 1
+38 0.0 0 0 1
+4 1.0 0 0 0
+3 1.0 0 0 0
+60 0.0 0 0 1
+12 0.0 0 0 1
+2 1.0 1 0 0
 """
 
 
+def table() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled blocks."""
+    x, y = [], []
+    for page in LABELLED.strip().split("\n\n"):
+        rows = [[float(v) for v in r.split()] for r in page.splitlines()]
+        x.append(matrix([(w, l, d, a) for w, l, d, a, _ in rows]))
+        y += [int(r[-1]) for r in rows]
+    return np.concatenate(x), np.array(y)
+
+
 @lru_cache(maxsize=1)
 def tree() -> list[tuple[int, float, int, int]]:
     """The tree grown from the table: (feature, split, left, right) a node; a leaf has feature -1 and its class at left."""
-    data = np.array([[float(x) for x in r.split()] for r in LABELLED.strip().splitlines()])
-    x, y = data[:, :-1], data[:, -1].astype(int)
+    x, y = table()
     nodes: list[tuple[int, float, int, int]] = []
 
     def gini(v: np.ndarray) -> float:
@@ -205,7 +301,7 @@ def tree() -> list[tuple[int, float, int, int]]:
         at = len(nodes)
         nodes.append((-1, 0.0, int(2 * y[rows].sum() >= len(rows)), 0))
         best = (gini(y[rows]) - 1e-9, -1, 0.0)
-        if depth < 6:
+        if depth < 7:
             for f in (6, 7, 1, 0, 3, 5, 2, 4):
                 values = np.unique(x[rows, f])
                 for cut in (values[1:] + values[:-1]) / 2:
