@@ -13,7 +13,7 @@ import os
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -194,13 +194,31 @@ def frequent(counted: DataFrame, total: int, times: str = "times") -> DataFrame:
     return counted.where(F.col(times) > max(1, total // FREQUENT + 1))
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, on: str, total: int, times: str = "times") -> DataFrame:
-    """The inner join of rows with a table of one row a key, which counts the key's rows in ``times``.
+def join_keyed(rows: DataFrame, keyed: DataFrame, on: str | list[str], total: int, times: str = "times", how: str = "inner") -> DataFrame:
+    """The inner or left join of rows with a table of one row a key, which counts the key's rows in ``times``.
 
     Rows of frequent keys meet them by broadcast and are not shuffled; the others are dealt out by key.
     """
     often = F.broadcast(frequent(keyed, total, times))
-    return rows.join(often, on).unionByName(rows.join(often.select(on), on, "left_anti").join(keyed, on))
+    by = [on] if isinstance(on, str) else on
+    return rows.join(often, by).unionByName(rows.join(often.select(*by), by, "left_anti").join(keyed, by, how))
+
+
+def numbered(keys: DataFrame, by: list[str], scratch: Scratch, name: str = "rank") -> DataFrame:
+    """Rows, different by some columns, numbered from 0 in the order of these: sorted in ranges, and a range's numbers begin after those before it."""
+    sorted_, _ = scratch.save(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted_.groupBy("_part").count()
+    base = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))  # a row a range
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return sorted_.withColumn("_nth", nth).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_nth") - 1).drop("_part", "_base", "_nth")
+
+
+def attach(rows: DataFrame, keyed: DataFrame, on: list[str], block: int = BLOCK) -> DataFrame:
+    """The left join of rows with a table of one row a key: rows without a key among it are not shuffled if the keys are few enough to be broadcast."""
+    if keyed.limit(block + 1).count() > block:
+        return rows.join(keyed, on, "left")
+    keys = F.broadcast(keyed.select(*on))
+    return rows.join(keys, on, "left_semi").join(keyed, on).unionByName(rows.join(keys, on, "left_anti"), allowMissingColumns=True)
 
 
 def having(rows: DataFrame, keys: DataFrame, on: str, spread: str, block: int = BLOCK, salts: int = 16) -> DataFrame:

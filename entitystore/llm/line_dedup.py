@@ -1,20 +1,24 @@
-"""Repeated runs of lines, by prefix doubling over line ids, in DataFrame functions only.
-
-The suffixes of a document's line sequence are named by doubling: a name of 2^(k+1) lines is made
-from two names of 2^k lines.  Names are 128 bits of hashes, so they agree across all documents
-without a sort each round.  Suffixes that share a name of m lines form an interval of the suffix
-array whose longest common prefix is m lines or more; the earliest of each interval stays and the
-rest are later copies.
-
-A maximal repeated run of ``least`` words or more is the union of the shortest runs of ``least``
-words that start, and of those that end, at each of its lines.  So two names a line settle all runs:
-those of its shortest run onwards and backwards, each from two overlapping names of 2^k lines.  Lines
-without a word are neither compared nor removed.
+"""Repeated runs of lines: a suffix array over line ids by distributed prefix doubling, in DataFrame functions only.
+
+The lines of all documents that have a word are one sequence of ids, cut at document ends and at lines
+that occur once in the corpus, as no repeated run crosses those; pieces of under ``least`` words drop
+out.  Suffixes of what is left are ranked by their first 1, 2, 4, ... lines: each round sorts the pairs of
+ranks (of a suffix and of the one 2^k lines on) in ranges over the cluster, and numbers them in order.
+Suffixes whose prefix occurs once have no rank and drop out of later rounds.
+
+Suffixes that share a prefix of m lines are an interval of the suffix array whose longest common prefix
+is m or more; the ranks of two overlapping prefixes of 2^k lines name it.  The earliest suffix of each
+interval stays and the rest are later copies.  A maximal repeated run of ``least`` words or more is the
+union of the shortest runs of ``least`` words that start, and of those that end, at each of its lines, so
+two intervals a line settle all runs.  Lines without a word are neither compared nor removed.
+
+A round's keys are counted before they are shuffled, and rows of frequent keys (a license line, a run
+that a third of all documents hold) meet their ranks and intervals by broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,58 +28,89 @@ LEAST = 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _pick(array: str, i: Column) -> Column:
-    return F.get(F.col(array), i)
+def _lines(docs: DataFrame) -> DataFrame:
+    """k, h (document), p (number among its lines with a word), at (among all lines), w (its words), a and b (its id: 128 bits)."""
+    split = docs.select(common.key().alias("k"), common.text().alias("text")).select("k", F.xxhash64("text").alias("h"), common.once(F.split("text", "\n", -1)).alias("lines"))
+    told = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    return split.select("k", "h", F.posexplode(common.once(F.filter(told, lambda x: x["w"] > 0))).alias("p", "x")).select("k", "h", "p", "x.*")
 
 
-def runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """k, h (document), a, b (the name), i, j (first and last line) of every shortest run of ``least`` words."""
-    lines = docs.select(common.key().alias("k"), common.text().alias("text")).select("k", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
-    told = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
-    worded = lines.select("k", "h", common.once(F.filter(told, lambda x: x["w"] > 0)).alias("x")).where(F.size("x") > 0)
-    named = worded.select("k", "h", *(common.once(F.col(f"x.{f}")).alias(n) for f, n in (("at", "at"), ("w", "w"), ("a", "a0"), ("b", "b0"))))
-    span = F.sequence(F.lit(0), F.size("at") - 1)
-    levels = max(1, least.bit_length())
-    def doubled(x: str, step: int, *seed: Column) -> Column:
-        return common.once(F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda u, v: F.xxhash64(*seed, u, v)))
+def _ranked(rows: DataFrame, by: list[str], rank: str, scratch: common.Scratch) -> DataFrame:
+    """Rows with the rank of their key in the order of the keys; null if no other row has it, or if it has a null."""
+    keys, _ = scratch.save(rows.where(F.col(by[1]).isNotNull()).groupBy(*by).agg(F.count("*").alias("times")).where("times > 1"))
+    ranked, _ = scratch.save(common.numbered(keys, by, scratch, rank))
+    return common.join_keyed(rows, ranked, by, rows.count(), how="left").drop(*by, "times")
+
 
-    for k in range(levels - 1):
-        named = named.withColumns({f"a{k + 1}": doubled(f"a{k}", 1 << k), f"b{k + 1}": doubled(f"b{k}", 1 << k, F.lit(1))})
+def suffixes(docs: DataFrame, least: int, scratch: common.Scratch) -> DataFrame:
+    """k, h, g (piece), p, at, onwards and backwards (lines of the shortest run from and up to this one, null if there is none), r0, r1, ... (ranks by the first 1, 2, ... lines)."""
+    lines, path = scratch.save(_lines(docs))
+    shared = _ranked(lines, ["a", "b"], "r0", scratch).where("r0 is not null")
+    # Rows that repeat an id and a text give the same lines; the set makes them one.
+    of_doc = shared.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("p", "at", "w", "r0"))).alias("x"))
+    each = of_doc.select("k", "h", F.posexplode("x").alias("n", "x")).select("k", "h", (F.col("x.p") - F.col("n")).alias("g"), "x")
+    piece = each.groupBy("k", "h", "g").agg(F.array_sort(F.collect_list("x")).alias("x"), F.sum("x.w").alias("words")).where(F.col("words") >= least)
+    piece = piece.select("k", "h", "g", "x", common.once(F.col("x.w")).alias("w"))
 
     def shortest(w: Column) -> Column:
         """Lines up to ``least`` words; null if there are not as many words."""
         zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("m"))
         return F.aggregate(w, zero, lambda s, x: F.when(s["sum"] >= least, s).otherwise(F.struct((s["sum"] + x).alias("sum"), (s["m"] + 1).alias("m"))), lambda s: F.when(s["sum"] >= least, s["m"]))
 
-    def onwards(p: Column) -> Column:
-        return F.when(_pick("w", p) >= least, F.lit(1)).otherwise(shortest(F.slice("w", p + 1, least)))
-
-    def backwards(p: Column) -> Column:
-        low = F.greatest(p - least + 1, F.lit(0))
-        return F.when(_pick("w", p) < least, shortest(F.reverse(F.slice("w", low + 1, p - low + 1))))
-
-    first = F.transform(span, lambda p: F.struct(p.alias("p"), onwards(p).alias("m")))
-    last = F.transform(span, lambda p: F.struct((p - backwards(p) + 1).alias("p"), backwards(p).alias("m")))
-    both = F.array_distinct(F.filter(F.concat(first, last), lambda x: x["m"].isNotNull()))
-    each = named.withColumn("run", F.explode(common.once(both)))
-    p, m = F.col("run.p"), F.col("run.m")
-
-    def name(x: str) -> Column:
-        """From the two longest overlapping names that the run's m lines hold."""
+    def told(x: Column, n: Column) -> Column:
+        low = F.greatest(n - least + 1, F.lit(0))
+        return F.struct(
+            x["p"].alias("p"), x["at"].alias("at"), x["r0"].alias("r0"), F.when(x["w"] >= least, F.lit(1)).otherwise(shortest(F.slice("w", n + 1, least))).alias("onwards"),
+            F.when(x["w"] < least, shortest(F.reverse(F.slice("w", low + 1, n - low + 1)))).alias("backwards"),
+        )
+
+    now, last = scratch.save(piece.select("k", "h", "g", F.explode(F.transform("x", told)).alias("x")).select("k", "h", "g", "x.*"))
+    scratch.drop(path)
+    for k in range(max(1, least.bit_length()) - 1):
+        step = Window.partitionBy("k", "h").orderBy("p").rangeBetween(1 << k, 1 << k)
+        pairs, mine = scratch.save(now.withColumns({"x": F.when(F.max(f"r{k}").over(step).isNotNull(), F.col(f"r{k}")), "y": F.max(f"r{k}").over(step)}).withColumn("y", F.when(F.col("x").isNotNull(), F.col("y"))))
+        scratch.drop(last)
+        now, last = scratch.save(_ranked(pairs, ["x", "y"], f"r{k + 1}", scratch))
+        scratch.drop(mine)
+    return now
+
+
+def runs(docs: DataFrame, least: int, scratch: common.Scratch) -> DataFrame:
+    """k, h (document), m, x, y (the interval), i, j (first and last line) of every shortest run of ``least`` words whose first and last lines are not alone."""
+    levels = max(1, least.bit_length())
+    ranks = [f"r{k}" for k in range(levels)]
+    piece = suffixes(docs, least, scratch).groupBy("k", "h", "g").agg(F.array_sort(F.collect_list(F.struct("p", "at", "onwards", "backwards", *ranks))).alias("z"))
+    both = F.concat(F.transform("z", lambda x, n: F.struct(n.alias("s"), x["onwards"].alias("m"))), F.transform("z", lambda x, n: F.struct((n - x["backwards"] + 1).alias("s"), x["backwards"].alias("m"))))
+    each = piece.select("k", "h", "z", F.explode(common.once(F.array_distinct(F.filter(both, lambda x: x["m"].isNotNull())))).alias("run"))
+    s, m = F.col("run.s"), F.col("run.m")
+
+    def rank(first: bool) -> Column:
+        """Of the prefix of 2^k lines that starts the run, or of the one that ends it; k is as large as the run allows."""
         pick = F.lit(None).cast("long")
         for k in range(levels):
-            pick = F.when(m >= 1 << k, F.xxhash64(m, _pick(f"{x}{k}", p), _pick(f"{x}{k}", p + m - (1 << k)))).otherwise(pick)
+            pick = F.when(m >= 1 << k, F.get("z", s if first else s + m - (1 << k))[f"r{k}"]).otherwise(pick)
         return pick
 
-    return each.select("k", "h", name("a").alias("a"), name("b").alias("b"), _pick("at", p).alias("i"), _pick("at", p + m - 1).alias("j"))
+    out = each.select("k", "h", m.alias("m"), rank(True).alias("x"), rank(False).alias("y"), F.get("z", s)["at"].alias("i"), F.get("z", s + m - 1)["at"].alias("j"))
+    return out.where("x is not null and y is not null")
 
 
 def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """k, h, i, j of the runs that also start earlier: in a smaller doc_id (then a smaller text hash), or earlier in the same text."""
-    each, _ = common.Scratch(docs.sparkSession).save(runs(docs, least))
+    scratch = common.Scratch(docs.sparkSession)
+    each, _ = scratch.save(runs(docs, least, scratch))
     place = F.struct("k", "h", "i")
-    interval = each.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "first")
-    return each.join(interval, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).where(place > F.col("first")).select("k", "h", "i", "j")
+    interval, _ = scratch.save(each.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"))
+    return common.join_keyed(each, interval, ["m", "x", "y"], each.count()).where(place > F.col("first")).select("k", "h", "i", "j")
+
+
+def stretches(rows: DataFrame) -> DataFrame:
+    """k, h, gone: the union of ranges of lines (i to j, both included) of each document, as separate ranges in order."""
+    by = Window.partitionBy("k", "h").orderBy("i", "j")
+    before = F.max("j").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = rows.withColumn("new", F.when(F.col("i") <= before + 1, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = new.groupBy("k", "h", "part").agg(F.min("i").alias("i"), F.max("j").alias("j"))
+    return joined.groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -83,17 +118,22 @@ def line_dedup(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = ())
 
     A line with a word goes if it lies in a run of lines of ``least`` words or more that also starts earlier.
     Null or empty text: one line, none removed, text empty.  Rows that repeat an id and a text are
-    one text, and alike.  Empty table: no rows.
+    one text, and alike.  A null id is one id below all others and is shown as null.  Empty table: no rows.
     """
-    gone = later_copies(docs, least).groupBy("k", "h").agg(F.collect_set(F.struct("i", "j")).alias("runs")).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "runs")
+    gone, _ = common.Scratch(docs.sparkSession).save(stretches(later_copies(docs, least)))
     whole = docs.select(common.key().alias("k"), common.text().alias("_text"), *keep).withColumn("h", F.xxhash64("_text"))
-    met = whole.join(gone, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").withColumn("lines", common.once(F.split("_text", "\n", -1)))
-    met = met.withColumn("removed", F.when(F.col("runs").isNotNull(), common.once(F.filter(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["i"], x["j"])))), lambda i: _pick("lines", i).rlike(WORD)))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: _pick("lines", i)), "\n"))
-    return met.select(
-        F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), text.alias("text"), *keep
-    )
+    met = common.attach(whole, gone, ["k", "h"]).withColumn("lines", common.once(F.split("_text", "\n", -1)))
+
+    def cut(x: Column, n: Column) -> Column:
+        """The lines between the stretch before and this one, and those of this one that have no word."""
+        low = F.when(n > 0, F.get("gone", n - 1)["j"] + 1).otherwise(0)
+        return F.concat(F.slice("lines", low + 1, x["i"] - low), F.filter(F.slice("lines", x["i"] + 1, x["j"] - x["i"] + 1), lambda t: ~t.rlike(WORD)))
+
+    tail = F.get("gone", F.size("gone") - 1)["j"] + 1
+    met = met.withColumn("left", F.when(F.col("gone").isNotNull(), common.once(F.concat(F.flatten(F.transform("gone", cut)), F.slice("lines", tail + 1, F.size("lines"))))))
+    removed = F.when(F.col("left").isNull(), 0).otherwise(F.size("lines") - F.size("left"))
+    text = F.when(F.col("left").isNull(), F.col("_text")).otherwise(F.array_join("left", "\n"))
+    return met.select(F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"), *keep)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
