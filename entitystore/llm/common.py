@@ -221,9 +221,23 @@ def attach(rows: DataFrame, keyed: DataFrame, on: list[str], block: int = BLOCK)
     return rows.join(keys, on, "left_semi").join(keyed, on).unionByName(rows.join(keys, on, "left_anti"), allowMissingColumns=True)
 
 
+def meet(rows: DataFrame, other: DataFrame, on: str, spread: str, block: int = BLOCK, how: str = "inner", salts: int = 16) -> DataFrame:
+    """The join of rows with a table of few rows a key: broadcast if that is small, else dealt out by key and a salt from the column ``spread`` of rows."""
+    if other.limit(block + 1).count() <= block:
+        return rows.join(F.broadcast(other), on, how)
+    salted = other.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")
+
+
 def having(rows: DataFrame, keys: DataFrame, on: str, spread: str, block: int = BLOCK, salts: int = 16) -> DataFrame:
-    """Rows whose key is among some different keys: broadcast if they are few, else dealt out by key and a salt from the column ``spread``."""
-    if keys.limit(block + 1).count() <= block:
-        return rows.join(F.broadcast(keys), on, "left_semi")
-    salted = keys.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [on, "_salt"], "left_semi").drop("_salt")
+    """Rows whose key is among some different keys."""
+    return meet(rows, keys, on, spread, block, "left_semi", salts)
+
+
+def stretches(rows: DataFrame) -> DataFrame:
+    """k, h, gone: the union of ranges (i to j, both included) of each document, as separate ranges in order."""
+    by = Window.partitionBy("k", "h").orderBy("i", "j")
+    before = F.max("j").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = rows.withColumn("new", F.when(F.col("i") <= before + 1, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = new.groupBy("k", "h", "part").agg(F.min("i").alias("i"), F.max("j").alias("j"))
+    return joined.groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("gone"))

@@ -104,15 +104,6 @@ def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return common.join_keyed(each, interval, ["m", "x", "y"], each.count()).where(place > F.col("first")).select("k", "h", "i", "j")
 
 
-def stretches(rows: DataFrame) -> DataFrame:
-    """k, h, gone: the union of ranges of lines (i to j, both included) of each document, as separate ranges in order."""
-    by = Window.partitionBy("k", "h").orderBy("i", "j")
-    before = F.max("j").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    new = rows.withColumn("new", F.when(F.col("i") <= before + 1, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = new.groupBy("k", "h", "part").agg(F.min("i").alias("i"), F.max("j").alias("j"))
-    return joined.groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("gone"))
-
-
 def line_dedup(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, text (without later copies of repeated runs), and columns to keep, of every row.
 
@@ -120,7 +111,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = ())
     Null or empty text: one line, none removed, text empty.  Rows that repeat an id and a text are
     one text, and alike.  A null id is one id below all others and is shown as null.  Empty table: no rows.
     """
-    gone, _ = common.Scratch(docs.sparkSession).save(stretches(later_copies(docs, least)))
+    gone, _ = common.Scratch(docs.sparkSession).save(common.stretches(later_copies(docs, least)))
     whole = docs.select(common.key().alias("k"), common.text().alias("_text"), *keep).withColumn("h", F.xxhash64("_text"))
     met = common.attach(whole, gone, ["k", "h"]).withColumn("lines", common.once(F.split("_text", "\n", -1)))
 
