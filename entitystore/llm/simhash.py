@@ -1,20 +1,23 @@
-"""SimHash near-duplicates by a segment-popcount embedding.
+"""SimHash near-duplicates by a segment-popcount embedding and a grid range join.
 
 A 64-bit fingerprint is cut into 32 segments of two bits; its embedding is the vector of their bit
 counts (0, 1 or 2), kept in unary so that the Manhattan distance of two embeddings is the number of
-differing bits.  That distance is at most the Hamming distance of the fingerprints.  Grid cells
-are the embedding's coordinates in three of six blocks of segments: two embeddings at a Manhattan
-distance of three or less agree in at least three blocks, so they meet in a cell.  Pairs in a cell are
-kept if their Manhattan distance, then their Hamming distance, is at most three.
-
-Only different fingerprints enter the grid.  A cell gives links that span its linked groups, not
-all pairs; one with more members than ``cell`` is cut into blocks, and blocks meet two by two.
+differing bits.  That distance is at most the Hamming distance of the fingerprints.
+
+The range join finds all pairs of embeddings at a Manhattan distance of three or less.  Such a pair is at a
+distance of one or less in one half of its segments, so there is a grid of unit cells for each half: an
+embedding is at home in its own cell and probes the neighbours in which one count is greater by one.
+Two that are within one of each other in a half share a cell where one of them is at home.  Pairs in a
+cell are kept if their Manhattan distance, then their Hamming distance, is at most three.
+
+Only different fingerprints enter the grid.  A cell gives links that span its linked groups, not all
+pairs.  Cells are counted before they are dealt out.  The members of one with more than ``cell`` are
+within three of each other in the other half, so they go to finer grids, one for each quarter of that
+half, in the same way; a cell of these that is still too large is cut into blocks, and blocks meet two by two.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +30,6 @@ from .components import components
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
-BLOCKS = 6
 CELL = 1 << 15
 
 _ODD = 0x5555555555555555
@@ -75,13 +77,6 @@ def embed(fp: np.ndarray) -> np.ndarray:
     return (low | other) | ((low & other) << np.uint64(1))
 
 
-def masks() -> list[int]:
-    """Of each choice of half the blocks: the bits of its segments."""
-    cuts = np.linspace(0, 32, BLOCKS + 1).round().astype(int)
-    block = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(block, BLOCKS - DISTANCE)]
-
-
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether fingerprints a and b link: the embeddings' distance first, then the exact one."""
     out = np.bitwise_count(embed(a) ^ embed(b)) <= DISTANCE
@@ -132,8 +127,8 @@ def span(fp: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches, names: list[str], least: int):
-    """Arrays of some columns by batch, so cut that a run of an equal first column is whole unless it has over ``least`` rows; the rest of such a run follows in pieces of any size."""
+def _runs(batches, names: list[str]):
+    """Arrays of some columns by batch, so cut that a run of an equal first column is whole."""
     kept = None
     for b in batches:
         got = [b.column(c).to_numpy() for c in names]
@@ -143,8 +138,6 @@ def _runs(batches, names: list[str], least: int):
         if len(k) == 0:
             continue
         cut = len(k) - int(np.argmax((k != k[-1])[::-1])) if (k != k[-1]).any() else 0
-        if len(k) - cut > least:
-            cut = len(k)
         if cut:
             yield [x[:cut] for x in got]
         kept = [x[cut:] for x in got]
@@ -152,49 +145,90 @@ def _runs(batches, names: list[str], least: int):
         yield kept
 
 
+def _places(grid: int, at: Column, segments: int) -> list[Column]:
+    """cell, home of an embedding in a grid: its own cell, and those where one of its counts (unary, from the lowest bits of ``at``) is greater by one; null where a count is at its most."""
+
+    def place(x: Column, home: bool) -> Column:
+        return F.struct(F.xxhash64(F.lit(grid), x).alias("cell"), F.lit(int(home)).alias("home"))
+
+    out = [place(at, True)]
+    for s in range(segments):
+        more = at.bitwiseOR(F.shiftleft(at, 1).bitwiseOR(F.lit(1 << 2 * s).cast("long")).bitwiseAND(F.lit(3 << 2 * s).cast("long")))
+        out.append(F.when(more != at, place(more, False)))
+    return out
+
+
+def _halves(e: Column) -> tuple[Column, Column]:
+    low = F.lit((1 << 32) - 1).cast("long")
+    return e.bitwiseAND(low), F.shiftrightunsigned(e, 32)
+
+
+def _coarse(e: Column) -> Column:
+    """Places of an embedding in the grids of both halves."""
+    a, b = _halves(e)
+    return F.array(*_places(0, a, 16), *_places(1, b, 16))
+
+
+def _fine(e: Column, half: Column, cell: Column) -> Column:
+    """Places in the grids of the quarters of the other half, inside a cell of a half (0 or 1)."""
+    a, b = _halves(e)
+    other = F.when(half == 0, b).otherwise(a)
+    quarters = (other.bitwiseAND(F.lit((1 << 16) - 1).cast("long")), F.shiftrightunsigned(other, 16))
+    every = F.array(*(x for g, q in enumerate(quarters) for x in _places(2 + g, q, 8)))
+    return F.transform(every, lambda x: F.when(x.isNotNull(), F.struct(F.xxhash64(cell, x["cell"]).alias("cell"), x["home"].alias("home"))))
+
+
+def _meet(batches):
+    """Links within the cells of sorted rows; a cell where none is at home has none."""
+    for k, fp, ids, home in _runs(batches, ["cell", "fp", "id", "home"]):
+        f = fp.view(np.uint64)
+        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        size, first = np.diff(edge), edge[:-1]
+        lived = np.add.reduceat(home, first) > 0
+        two = first[(size == 2) & lived]
+        ok = two[near(f[two], f[two + 1])]
+        found = [np.stack([ids[ok], ids[ok + 1]], 1)]
+        some = (size > 2) & lived
+        for s, n in zip(first[some].tolist(), size[some].tolist(), strict=True):
+            if e := span(f[s : s + n]):
+                found.append(ids[s + np.array(e)])
+        z = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(z[:, 0]), pa.array(z[:, 1])], names=["u", "v"])
+
+
 def links(classes: DataFrame, scratch: common.Scratch, cell: int = CELL) -> DataFrame:
-    """u, v (ids) of links that span the groups of linked fingerprints.  classes: fp, id."""
+    """u, v (ids) of links that span the groups of linked fingerprints.  classes: fp (all different), id."""
     odd, u = F.lit(_ODD).cast("long"), F.col("fp")
     other = F.shiftrightunsigned(u, 1).bitwiseAND(odd)
     low = u.bitwiseAND(odd)
     unary = low.bitwiseOR(other).bitwiseOR(F.shiftleft(low.bitwiseAND(other), 1))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
-    cells = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed))))
-    rows = classes.select("fp", "id", unary.alias("e")).select(cells.alias("cell"), "fp", "id")
-
-    def meet(batches):
-        cut = None  # the last cell left to blocks: rows of it that come later go there too, however few
-        for k, fp, ids in _runs(batches, ["cell", "fp", "id"], cell):
-            f = fp.view(np.uint64)
-            a: list[np.ndarray] = []
-            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-            size, first = np.diff(edge), edge[:-1]
-            big = size > cell
-            if cut is not None:
-                big |= k[first] == cut
-            if big.any():
-                cut = k[first[big][-1]]
-            two = first[(size == 2) & ~big]
-            ok = two[near(f[two], f[two + 1])]
-            a.append(np.stack([ids[ok], ids[ok + 1], np.zeros(len(ok), np.int64), np.zeros(len(ok), np.int64)], 1))
-            some = big | (size > 2)
-            for s, n, b in zip(first[some].tolist(), size[some].tolist(), big[some].tolist(), strict=True):
-                if b:  # left to blocks
-                    a.append(np.stack([fp[s : s + n], ids[s : s + n], k[s : s + n], np.ones(n, np.int64)], 1))
-                elif e := span(f[s : s + n]):
-                    e = ids[s + np.array(e)]
-                    a.append(np.concatenate([e, np.zeros((len(e), 2), np.int64)], 1))
-            z = np.concatenate(a)
-            yield pa.RecordBatch.from_arrays([pa.array(z[:, i]) for i in range(4)], names=["u", "v", "cell", "big"])
-
-    found, _ = scratch.save(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "u long, v long, cell long, big long"))
-    plain = found.where("big = 0").select("u", "v")
-    sizes = found.where("big = 1").groupBy("cell").count()
-    if not sizes.take(1):
-        return plain
+
+    def placed(rows: DataFrame, places: Column) -> DataFrame:
+        """A row for each place of a row, with the place's number among them."""
+        return rows.select(*rows.columns, F.posexplode(places).alias("nth", "x")).where("x is not null").select("fp", "id", "e", "nth", "x.cell", "x.home")
+
+    def large(rows: DataFrame) -> DataFrame:
+        """cell, count of the cells with more than ``cell`` members."""
+        return scratch.save(rows.groupBy("cell").count().where(F.col("count") > cell))[0]
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.select("cell", "fp", "id", "home").repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet, "u long, v long")
+
+    rows = placed(classes.select("fp", "id", common.once(unary).alias("e")), _coarse(F.col("e")))
+    hot = large(rows)
+    if not hot.take(1):
+        return scratch.save(met(rows))[0]
+    half = F.when(F.col("nth") < 17, 0).otherwise(1)
+    inside = common.meet(rows, hot.select("cell"), "cell", "fp", how="left_semi").select("fp", "id", "e", half.alias("half"), F.col("cell").alias("of"))
+    fine, _ = scratch.save(inside.select("fp", "id", "e", F.explode(_fine(F.col("e"), F.col("half"), F.col("of"))).alias("x")).where("x is not null").select("fp", "id", "x.cell", "x.home"))
+    found = [met(common.meet(rows, hot.select("cell"), "cell", "fp", how="left_anti"))]
+    still = large(fine)
+    if not still.take(1):
+        return scratch.save(found[0].unionByName(met(fine)))[0]
+    found.append(met(common.meet(fine, still.select("cell"), "cell", "fp", how="left_anti")))
     # Cells too large for one task: members go to blocks, and each two blocks of a cell meet in a task.
     n = F.ceil(F.col("count") / (cell // 2)).cast("int")
-    members = found.where("big = 1").join(sizes, "cell").select("cell", F.col("u").alias("fp"), F.col("v").alias("id"), n.alias("n"), F.pmod(F.xxhash64("u", F.lit(5)), n).cast("int").alias("i"))
+    members = common.meet(fine, still, "cell", "fp").select("cell", "fp", "id", n.alias("n")).withColumn("i", F.pmod(F.xxhash64("fp", F.lit(5)), "n").cast("int"))
     pairs = members.select("cell", "fp", "id", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("a"), F.greatest(j, F.col("i")).alias("b")))).alias("p"))
 
     def block(t: pa.Table) -> pa.Table:
@@ -202,8 +236,8 @@ def links(classes: DataFrame, scratch: common.Scratch, cell: int = CELL) -> Data
         e = ids[np.array(span(fp), np.int64).reshape(-1, 2)]
         return pa.table({"u": e[:, 0], "v": e[:, 1]})
 
-    more = pairs.select("cell", "fp", "id", "p.a", "p.b").groupBy("cell", "a", "b").applyInArrow(block, "u long, v long")
-    return plain.unionByName(more)
+    found.append(pairs.select("cell", "fp", "id", "p.a", "p.b").groupBy("cell", "a", "b").applyInArrow(block, "u long, v long"))
+    return scratch.save(found[0].unionByName(found[1]).unionByName(found[2]))[0]
 
 
 def _classes(fps: DataFrame, scratch: common.Scratch, cell: int, *least: Column) -> DataFrame:
@@ -239,12 +273,24 @@ def simhash_groups(docs: DataFrame, cell: int = CELL) -> DataFrame:
     return common.join_keyed(fps, labelled, "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown.alias("component_id"))
 
 
-def survivors(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """k, h (id and text hash) of one document of each group of near duplicates: the one of the least id, then of the least hash."""
+def one_of_each(docs: DataFrame, cell: int = CELL, block: int = common.BLOCK) -> DataFrame:
+    """The rows of docs that stay: of each group of near duplicates the document (id and text) of the least id, then of the least text hash.
+
+    Rows that repeat an id and a text are one document, and one of them stays.  Null or empty text:
+    fingerprint zero, a group like any other.  A null id is one id below all others; documents that
+    share an id but not a text join no groups.  Further columns stay.  Empty table: no rows.
+
+    Texts are shuffled only if more documents go, or are repeated, than may be broadcast.
+    """
     scratch = common.Scratch(docs.sparkSession)
     fps, _ = scratch.save(fingerprints(docs, hashed=True))
     first = F.struct(common.key().alias("k"), F.col("h").alias("h"))
-    return _classes(fps, scratch, cell, first).select("root", "m0.k", "m0.h").distinct().select("k", "h")
+    stay, _ = scratch.save(_classes(fps, scratch, cell, first).select("m0.k", "m0.h").distinct())
+    keys = fps.groupBy(common.key().alias("_k"), F.col("h").alias("_h")).agg(F.count("*").alias("_times"))
+    told, _ = scratch.save(keys.join(stay.select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.lit(True).alias("_stays")), ["_k", "_h"], "left").where("_times > 1 or _stays is null"))
+    met = common.attach(docs.withColumns({"_k": common.key(), "_h": F.xxhash64(common.text())}), told, ["_k", "_h"], block)
+    again = met.where("_stays").dropDuplicates(["_k", "_h"])
+    return met.where("_times is null").unionByName(again).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_links_of_chains_and_clusters(spark):
                 x = s ^ (1 << int(rng.integers(0, 64)))
     fps = sorted(fps)
     want = linked(list(enumerate(fps)))
-    for cell in (simhash.CELL, 4):
+    for cell in (simhash.CELL, 40, 4):
         classes = spark.createDataFrame([(x - 2**64 if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, id long")
         scratch = common.Scratch(spark)
         roots = {r.u: r.root for r in simhash.components(simhash.links(classes, scratch, cell), scratch).collect()}
