@@ -14,7 +14,7 @@ from entitystore.llm.cotraining import classify
 from entitystore.llm.decontamination import excise
 from entitystore.llm.line_dedup import line_dedup
 from entitystore.llm.packing import VOCABULARY, pack
-from entitystore.llm.simhash import survivors
+from entitystore.llm.simhash import one_of_each
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,9 +33,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (id and text) of each group of near duplicates, the one of the least id; rows that repeat it are left out."""
-    first = survivors(docs).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
-    kept = docs.withColumn("_k", common.key()).withColumn("_h", F.xxhash64(common.text())).join(first, ["_k", "_h"], "left_semi")
-    return kept.dropDuplicates(["_k", "_h"]).select(*COLUMNS)
+    return one_of_each(docs).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
