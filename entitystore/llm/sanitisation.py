@@ -9,7 +9,12 @@ Evidence counts different surroundings (the words before and after), at most one
 and near copies of a text count once.  Occurrences of disclosing terms become spans of kind "term";
 ``sanitise`` puts a general name in the place of every span, and removes terms.
 
-Only counts by term and by (term, entity) are shuffled; n(t) is counted over the whole corpus for terms
+Terms that are new in every text (keys, passwords) have no evidence of their own.  They are weighed as a
+class: which kinds of characters a term has, and its length by powers of two.  The entity is then the
+credential that names like "token" announce, at most two terms before; n counts different terms of the
+class, so copies count once, and the same thresholds hold.  All terms of a disclosing class become spans.
+
+Only counts by term, by class and by (term, entity) are shuffled; n(t) is counted over the whole corpus for terms
 that pass the support.  Texts are shuffled only if more of them hold entities than may be broadcast, and
 then copies of one are salted.
 """
@@ -40,6 +45,9 @@ LEAST = {"card": r"[0-9](?:[\x20-]?[0-9]){13}"}
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = ".,;:!?\"'()[]{}<>|#*$%&/=_~`^+-"
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
+#: What counts as a term where classes are weighed, and names that announce a credential.
+PIECE = r"[\p{L}\p{N}_+/.-]+"
+CREDENTIALS = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "api-key", "access_key", "secret_key", "private_key", "auth", "authorization", "bearer", "credential", "credentials", "passphrase")
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -130,6 +138,9 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, scratch: common.Scratch,
     context = F.min(F.xxhash64("before", "after")).alias("context")
     said = _said(common.having(held, shared.select("h").distinct(), "h", "k"))
     near, _ = scratch.save(said.groupBy("h", "term").agg(context))
+    # No term with less evidence than the support can pass, so only the others meet the entities of their texts.
+    able = near.groupBy("term").agg(F.count_distinct("context").alias("of_term"), F.count("*").alias("times")).where(F.col("of_term") >= support).drop("of_term")
+    near, _ = scratch.save(common.join_keyed(near, able, "term", near.count()).drop("times"))
     pairs = near.join(shared, "h").groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
 
     def enough(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -155,21 +166,54 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, scratch: common.Scratch,
     return pairs.join(texts, "entity").withColumn("bits", bits_of).where(F.col("bits") >= bits).select("term", "entity", "bits")
 
 
+def _class(term: Column) -> Column:
+    """The class of a term: kinds of its characters, and its length by powers of two."""
+    has = [F.when(F.rlike(term, F.lit(p)), F.lit(x)).otherwise(F.lit("")) for x, p in (("a", "[a-z]"), ("A", "[A-Z]"), ("9", "[0-9]"), ("o", "[^A-Za-z0-9]"))]
+    return F.concat(*has, F.floor(F.log2(F.length(term))).cast("string"))
+
+
+def disclosing_classes(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+    """class, of_class, both, bits of the classes of terms that disclose a credential: at most 16 kinds for each power of two.
+
+    Counts of different terms are estimates with a bounded sketch a class, exact but for rounding where they are small.
+    """
+    text = docs.select(common.text().alias("text")).select(common.once(_blanked("text")).alias("text"))
+    pieces = text.select(common.once(F.regexp_extract_all("text", F.lit(PIECE), 0)).alias("p")).where(F.size("p") > 0)
+    one = F.array(F.lit(""))
+    each = pieces.select(F.explode(F.arrays_zip("p", F.concat(one, "p").alias("b"), F.concat(one, one, "p").alias("c"))).alias("x")).where("x.p is not null").select(F.col("x.p").alias("term"), (F.lower("x.b").isin(*CREDENTIALS) | F.lower("x.c").isin(*CREDENTIALS)).alias("near"))
+    counted = each.groupBy(_class(F.col("term")).alias("class")).agg(F.approx_count_distinct("term", 0.02).alias("of_class"), F.approx_count_distinct(F.when(F.col("near"), F.col("term")), 0.02).alias("both"))
+    total = Window.partitionBy()  # a row a class
+    weighed = counted.withColumn("bits", F.log2(F.col("both") * F.sum("of_class").over(total) / (F.col("of_class") * F.greatest(F.sum("both").over(total), F.lit(1)))))
+    return weighed.where((F.col("both") >= support) & (F.col("both") >= share * F.col("of_class")) & (F.col("bits") >= bits))
+
+
+def _of_classes(docs: DataFrame, classes: list[str]) -> DataFrame:
+    """k, h, value, start, end of the terms of some classes; only texts that hold one are read term by term."""
+    rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("text", common.once(_blanked("text"))).withColumn("_r", F.monotonically_increasing_id())
+    held = rows.where(F.exists(common.once(F.regexp_extract_all("text", F.lit(PIECE), 0)), lambda x: _class(x).isin(*classes)))
+    return _located(held, "text", PIECE).drop("_r").where(_class(F.col("value")).isin(*classes)).distinct()
+
+
 def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """k, h, kind, value, start, end of the base spans and of the spans of disclosing terms."""
     scratch = common.Scratch(docs.sparkSession)
     base, _ = scratch.save(base_spans(docs))
+    classes = sorted(r[0] for r in disclosing_classes(docs, support, share, bits).select("class").collect())  # so few by construction
     terms, _ = scratch.save(disclosing_terms(docs, base, scratch, support, share, bits).select("term").distinct())
-    if not terms.take(1):
+    found = _of_classes(docs, classes).select("k", "h", "value", "start", "end") if classes else None
+    if terms.take(1):
+        rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
+        hit = reduce(DataFrame.unionByName, [_said(rows.select("h", "text")).join(F.broadcast(part), "term", "left_semi").select("h") for part in common.blocks(terms, ["term"])]).distinct()
+        words = _located(common.having(rows, scratch.save(hit)[0], "h", "k").withColumn("text", common.once(_blanked("text"))).withColumn("_r", F.monotonically_increasing_id()), "text", WORD).drop("_r").distinct()
+        bare = F.btrim("value", F.lit(MARKS))
+        lead = F.length("value") - F.length(F.ltrim("value", F.lit(MARKS)))
+        cut = words.select("k", "h", (F.col("start") + lead).alias("start"), bare.alias("value"), F.lower(bare).alias("term"))
+        more = cut.join(terms, "term", "left_semi").select("k", "h", "value", "start", (F.col("start") + F.length("value")).alias("end"))
+        found = more if found is None else found.unionByName(more)
+    if found is None:
         return base
-    rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
-    hit = reduce(DataFrame.unionByName, [_said(rows.select("h", "text")).join(F.broadcast(part), "term", "left_semi").select("h") for part in common.blocks(terms, ["term"])]).distinct()
-    words = _located(common.having(rows, scratch.save(hit)[0], "h", "k").withColumn("text", common.once(_blanked("text"))).withColumn("_r", F.monotonically_increasing_id()), "text", WORD).drop("_r").distinct()
-    bare = F.btrim("value", F.lit(MARKS))
-    lead = F.length("value") - F.length(F.ltrim("value", F.lit(MARKS)))
-    cut = words.select("k", "h", (F.col("start") + lead).alias("start"), bare.alias("value"), F.lower(bare).alias("term"))
-    more = cut.join(terms, "term", "left_semi")
-    return base.unionByName(more.select("k", "h", F.lit("term").alias("kind"), "value", "start", (F.col("start") + F.length("value")).alias("end")))
+    return base.unionByName(found.distinct().select("k", "h", F.lit("term").alias("kind"), "value", "start", "end"))
 
 
 def _joined(spans: Column) -> Column:
@@ -177,9 +221,9 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_spans (of terms, of all kinds) of every row of docs.
 
-    Null or empty text: no spans.  Repeated rows: a row each, alike.  Empty table: no rows.
+    Words of one character are no terms.  Null or empty text: no spans.  Repeated rows: a row each, alike.  Empty table: no rows.
     """
     rank = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))[F.col("kind")]
     of_doc = find(docs, support, share, bits).groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("all"))
@@ -189,7 +233,7 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, share: float = SHARE,
     every = F.coalesce("all", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
     count = {f"n_{kind}": F.size(F.filter(every, _is(kind))).cast("long") for kind in KINDS[:-1]}
     base = F.filter(every, lambda s: s["kind"] != "term")
-    return met.select(F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), *(c.alias(n) for n, c in count.items()), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"))
+    return met.select(F.when(F.col("k") != common.NULL_ID, F.col("k")).alias("doc_id"), *(c.alias(n) for n, c in count.items()), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size(F.filter(every, _is("term"))).cast("long").alias("n_term"), F.size(every).cast("long").alias("n_spans"))
 
 
 def _is(kind: str):
@@ -197,7 +241,11 @@ def _is(kind: str):
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """docs with base spans generalised to <kind> and disclosing terms removed; where spans overlap, the first one counts."""
+    """docs with base spans generalised to <kind> and disclosing terms removed; where spans overlap, the first one counts.
+
+    A null text stays null.  Repeated rows stay each, alike; a null doc_id is one id.  Further columns stay,
+    whatever their names (those that begin with an underscore excepted).  Empty table: no rows.
+    """
     of_doc = find(docs, support, share, bits).groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_all"))
     met = docs.join(of_doc, (common.key() == F.col("_k")) & (F.xxhash64(common.text()) == F.col("_h")), "left")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

@@ -252,7 +252,7 @@ def test_sanitisation(spark):
     for i, t in rows:
         s = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(BASE.items()) for m in re.finditer(p, t or "") if passes(kind, m[0]))
         line = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in s)
-        want[(i, *(sum(x[3] == kind for x in s) for kind in BASE), hashlib.sha256(line.encode()).hexdigest(), line)] += 1
+        want[(i, *(sum(x[3] == kind for x in s) for kind in BASE), hashlib.sha256(line.encode()).hexdigest(), line, 0, len(s))] += 1
     assert Counter(map(tuple, sanitisation.personal_data(docs(spark, rows)).collect())) == want
     assert sanitisation.personal_data(nothing(spark)).count() == 0
 
@@ -268,6 +268,22 @@ def test_disclosing_terms(spark):
     assert clean[200] == "nobody but : is here" and clean[100] == "n0 , m0 and here x0 <email> y0" and clean[0] == rows[0][1]
 
 
+def test_disclosing_classes(spark):
+    """Keys that differ in every text are found by what kind of term follows a credential's name; like terms that stand elsewhere are not."""
+    rng = np.random.default_rng(9)
+    key = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(12)]
+    rows = [(i, f"plain p{i} and q{i} here token of words there {10**12 + i}") for i in range(90)]
+    rows += [(100 + i, f'n{i} token = "{key[i]}"! and') for i in range(6)] + [(110, f"password:{key[6]}"), (111, f"no name {key[7]}"), (112, None), (113, ""), (113, ""), (None, f"x {key[8]}")]
+    got = {r.doc_id: (r.spans, r.n_term, r.n_spans) for r in sanitisation.personal_data(docs(spark, rows)).collect()}
+    assert all(got[100 + i] == ("term:12:52", 1, 1) for i in range(6)) and got[110][0] == "term:9:49" and got[111][0] == "term:8:48" and got[None][0] == "term:2:42"
+    assert all(got[i] == ("", 0, 0) for i in (*range(90), 112, 113))
+    clean = {r.doc_id: r.text for r in sanitisation.sanitise(docs(spark, rows)).collect()}
+    assert clean[100] == 'n0 token = ""! and' and clean[112] is None and len(clean) == len({i for i, _ in rows})
+    usual = [(i, f"word {key[i]} is") for i in range(12)] + [(20 + i, f"token {key[i][::-1]}") for i in range(5)]
+    assert all(r.n_spans == 0 for r in sanitisation.personal_data(docs(spark, usual)).collect())
+    assert sanitisation.sanitise(nothing(spark)).count() == 0
+
+
 def test_disclosing_terms_that_form_an_address(spark):
     odd = ["🙂 a@b.c_x@d.e.f é +1 (743) 555-38244 x 4111 1111 1111 1111, 1.2.3.4", "+49 4111 1111 1111 1111 1", "1 22 333", "", "a.b@" * 500, "+1 202 555 0199 a@b.cc"]
     for r in spark.createDataFrame([(t,) for t in odd], "text string").withColumn("b", sanitisation._blanked("text")).collect():
