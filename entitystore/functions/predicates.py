@@ -80,3 +80,18 @@ def may_exceed(value: float, high: Column) -> Column:
 
 def may_fall_below(value: float, low: Column) -> Column:
     return low <= value
+
+
+def dictionary_test(values: Column, predicate: Predicate) -> Column:
+    """Whether any of a dictionary's values (an array, nulls left out) passes; null where it cannot tell.
+
+    A dictionary holds no nulls, so it cannot tell of IS_NULL, and NOT_NULL asks whether it has a value.
+    strict=True: != asks whether the value is not among them.
+    """
+    if predicate.op == "is_null":
+        return F.lit(None).cast("boolean")
+    if predicate.op == "not_null":
+        return F.size(values) > 0
+    if predicate.op == "!=" and predicate.strict:
+        return ~F.exists(values, lambda x: x.isin(list(predicate.values)))
+    return F.exists(values, predicate.column)

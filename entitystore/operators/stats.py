@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import Predicate, dictionary_test
+
 
 def zone_map(rows: DataFrame, column: str, by: tuple[str, ...] = ("shard",)) -> DataFrame:
     """Least and greatest value by shard, numbers as doubles, text in its own order."""
@@ -25,15 +27,37 @@ def counts(rows: DataFrame, key: str, by: tuple[str, ...] = ("shard",)) -> DataF
     return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_entities"))
 
 
-def column_metadata(rows: DataFrame, columns: list[str], key: str, by: tuple[str, ...] = ("shard",)) -> DataFrame:
-    """Zone map, cardinality and counts of some columns by shard, a row each, from one pass."""
-    stats = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        stats += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.count_distinct(F.col(c)).alias(f"{c}_card"), F.count(c).alias(f"{c}_n")]
-    wide = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_entities"), *stats)
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_min").alias("min_value"), F.col(f"{c}_max").alias("max_value"), F.col(f"{c}_card").alias("cardinality"), (F.col("n_rows") - F.col(f"{c}_n")).alias("n_nulls")) for c in columns)))
-    return wide.select(*by, "n_rows", "n_entities", each.alias("m")).select(*by, "n_rows", "n_entities", "m.*")
+def column_metadata(rows: DataFrame, columns: list[str], key: str, by: tuple[str, ...] = ("shard",), exact: bool = False) -> DataFrame:
+    """Zone map, cardinality and counts of some numeric columns by shard, a row each.
+
+    Cardinality and entities are estimates, in one pass without repeated rows; if exact, values are
+    combined by column before they are counted.
+    """
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    if not exact:
+        told = [x for c in columns for x in (F.min(F.col(c).cast("double")).alias(f"{c}_min"), F.max(F.col(c).cast("double")).alias(f"{c}_max"), F.approx_count_distinct(c).alias(f"{c}_card"), F.count(c).alias(f"{c}_n"))]
+        wide = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), distinct(F.col(key)).alias("n_entities"), *told)
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_min").alias("min_value"), F.col(f"{c}_max").alias("max_value"), F.col(f"{c}_card").alias("cardinality"), (F.col("n_rows") - F.col(f"{c}_n")).alias("n_nulls")) for c in columns)))
+        return wide.select(*by, "n_rows", "n_entities", each.alias("m")).select(*by, "n_rows", "n_entities", "m.*")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), distinct(F.col(key)).alias("n_entities"))
+    one = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("number"), F.col(c).cast("string").alias("text")) for c in columns)))
+    values = rows.select(*by, one.alias("x")).groupBy(*by, "x.column_name", "x.text").agg(F.max("x.number").alias("number"), F.count("*").alias("n"))
+    told = values.groupBy(*by, "column_name").agg(F.min("number").alias("min_value"), F.max("number").alias("max_value"), F.count("text").alias("cardinality"), F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"))
+    return sizes.join(told, list(by)).select(*by, "n_rows", "n_entities", "column_name", "min_value", "max_value", "cardinality", "n_nulls")
+
+
+def entity_order(rows: DataFrame, key: str, by: str = "shard") -> DataFrame:
+    """by, key, place (from 1) of each entity among those of its shard, by number of rows, then id.
+
+    Entities are sorted in ranges over the cluster; a place is the number in the whole order less that before the shard.
+    """
+    sized = rows.groupBy(by, key).agg(F.count("*").alias("n_rows"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sized.repartitionByRange(parts, by, "n_rows", key).withColumn("part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("part", by).orderBy("n_rows", key))
+    sizes = ranged.groupBy("part", by).count()  # a row a range and shard
+    before = sizes.select("part", by, (F.sum("count").over(Window.partitionBy(by).orderBy("part")) - F.col("count")).alias("base"))
+    return ranged.withColumn("nth", nth).join(F.broadcast(before), ["part", by]).select(by, key, (F.col("base") + F.col("nth")).cast("bigint").alias("place"))
 
 
 def fragmentation(log: DataFrame, latest: DataFrame, key: str, by: tuple[str, ...] = ("shard",)) -> DataFrame:
@@ -52,13 +76,19 @@ def dictionary(rows: DataFrame, column: str) -> DataFrame:
 
     Ranges are counted first and numbered from their offsets, so no task sees all values.
     """
-    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value").withColumn("part", F.spark_partition_id())
     before = values.groupBy("part").count()
     before = before.withColumn("base", F.sum("count").over(Window.orderBy("part")) - F.col("count")).drop("count")  # a row a partition
     ranked = values.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("value")))
     return ranked.join(F.broadcast(before), "part").select("value", (F.col("base") + F.col("nth") + 1).cast("bigint").alias("surrogate"))
 
 
+def dictionary_passes(rows: DataFrame, column: str, predicate: Predicate, by: str = "shard") -> DataFrame:
+    """by, passes: what a predicate says of each shard's dictionary; see dictionary_test."""
+    values = rows.select(by, column).distinct().groupBy(by).agg(F.collect_set(column).alias("_values"))
+    return values.select(by, dictionary_test(F.col("_values"), predicate).alias("passes"))
+
+
 def dictionary_violations(pairs: DataFrame) -> DataFrame:
     """Values with two surrogates and surrogates of two values: kind, item, times."""
     a = pairs.groupBy("value").agg(F.count_distinct("surrogate").alias("times")).where("times > 1").select(F.lit("value").alias("kind"), F.col("value").alias("item"), "times")

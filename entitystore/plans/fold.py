@@ -1,9 +1,10 @@
 """Folding of upserts and deletes over whole entities.
 
-Operations: entity_id, version, pos (their order), op ("write" or "delete").  The one that wins has
-the greatest version, and of those the last position; it must not be a delete of an entity not
-written yet.  Winners' rows replace all rows of their entity.  Everything is aggregated, so an
-entity with very many operations is combined before the shuffle.
+Operations: key, version, pos (their order, of any type that has one), op ("write" or "delete").  The one
+that wins has the greatest version, and of those the last position; it must not be a delete of an entity
+not written yet.  Winners' rows replace all rows of their entity.
+
+Writes are combined before the shuffle, however many an entity has; of deletes one a version is shuffled.
 """
 
 from __future__ import annotations
@@ -12,19 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def winners(ops: DataFrame, stored: DataFrame | None = None, key: str = "entity_id") -> DataFrame:
-    """The winning operation of each entity: key, version, pos, op.  stored: key and version of entities there already (position -1)."""
-    ops = ops.select(key, F.col("version").cast("bigint").alias("version"), F.col("pos").cast("bigint").alias("pos"), "op")
+def winners(ops: DataFrame, stored: DataFrame | None = None, key: str | list[str] = "entity_id") -> DataFrame:
+    """The winning operation of each entity: key, version, pos, op.  stored: key and version of entities there already (their pos is null)."""
+    by = [key] if isinstance(key, str) else key
+    ops = ops.select(*by, F.col("version").cast("bigint").alias("version"), "pos", "op")
+    writes = ops.where("op = 'write'").drop("op")
     if stored is not None:
-        ops = ops.unionByName(stored.select(key, F.col("version").cast("bigint").alias("version"), F.lit(-1).cast("bigint").alias("pos"), F.lit("write").alias("op")))
-    first = ops.where("op = 'write'").groupBy(key).agg(F.min("pos").alias("_first"))
-    heard = ops.join(first, key).where(F.col("pos") >= F.col("_first"))
-    top = heard.groupBy(key).agg(F.max(F.struct("version", "pos", "op")).alias("w"))
-    return top.select(key, "w.version", "w.pos", "w.op")
+        writes = writes.unionByName(stored.select(*by, F.col("version").cast("bigint").alias("version")), allowMissingColumns=True)
+    written = writes.groupBy(*by).agg(F.max(F.struct("version", "pos")).alias("w"), F.min("pos").alias("_first"), F.bool_or(F.col("pos").isNull()).alias("_known"))
+    gone = ops.where("op = 'delete'").groupBy(*by, "version").agg(F.max("pos").alias("pos"))
+    later = (F.col("version") > F.col("w.version")) | ((F.col("version") == F.col("w.version")) & (F.col("w.pos").isNull() | (F.col("pos") > F.col("w.pos"))))
+    beaten = gone.join(written, by).where((F.col("_known") | (F.col("pos") > F.col("_first"))) & later).groupBy(*by).agg(F.max(F.struct("version", "pos")).alias("d"))
+    top = F.coalesce("d", "w")
+    return written.join(beaten, by, "left").select(*by, top["version"].alias("version"), top["pos"].alias("pos"), F.when(F.col("d").isNull(), "write").otherwise("delete").alias("op"))
 
 
-def live(ops: DataFrame, stored: DataFrame | None = None, key: str = "entity_id") -> DataFrame:
-    """Entities left: key, version, pos of the write that won (-1: the stored one)."""
+def live(ops: DataFrame, stored: DataFrame | None = None, key: str | list[str] = "entity_id") -> DataFrame:
+    """Entities left: key, version, pos of the write that won (null: the stored one)."""
     return winners(ops, stored, key).where("op = 'write'").drop("op")
 
 

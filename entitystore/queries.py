@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import fixtures
 from .functions import intervals, sharding
 from .functions import predicates as P
 from .functions.predicates import Predicate
-from .operators import diff, stats
+from .operators import analyze, diff, stats
 from .plans import fold
+from .sources import table as store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,14 +79,15 @@ def li(spark, d):
 LI = "li AS (SELECT l_orderkey AS entity_id, CAST(l_orderkey % 10 AS INTEGER) AS shard, * EXCLUDE (l_orderkey) FROM lineitem)"
 
 
-def week(spark, d, n):
-    """The changes of one week."""
-    rows = ev(spark, d).where(f"entity_id % {(5, 7)[n]} <> 0")  # so that users come and go
-    return rows.where(intervals.start("weekly", F.col("ts")) == WEEKS[n])
+WEEKS = ("2024-01-01T00:00:00Z", "2024-01-08T00:00:00Z")
 
 
-WEEKS = ("2024-01-01T00:00:00Z", "2024-01-08T00:00:00Z")
-W = f"{EV}, w1 AS (SELECT * FROM ev WHERE {iso("date_trunc('week', ts)")} = '{WEEKS[0]}' AND entity_id % 5 <> 0), w2 AS (SELECT * FROM ev WHERE {iso("date_trunc('week', ts)")} = '{WEEKS[1]}' AND entity_id % 7 <> 0)"
+def day(spark, d, n):
+    """The events of one day's slices, by user."""
+    return fixtures.events(spark, d).scan(Predicate("=", ("daily",)), Predicate("=", (WEEKS[n],))).withColumnRenamed("user_id", "entity_id")
+
+
+W = f"{EV}, w1 AS (SELECT * FROM ev WHERE {iso("date_trunc('day', ts)")} = '{WEEKS[0]}'), w2 AS (SELECT * FROM ev WHERE {iso("date_trunc('day', ts)")} = '{WEEKS[1]}')"
 
 
 def buckets(spark, d, interval="weekly"):
@@ -110,10 +113,17 @@ s AS (SELECT DISTINCT interval, interval_start, shard FROM b UNION ALL SELECT DI
 
 LI_COLUMNS = ("entity_id", "shard", "l_partkey", "l_quantity", "l_shipdate")
 LI_LIST = ", ".join(LI_COLUMNS)
-query("scan_table", f"WITH {LI} SELECT {LI_LIST} FROM li")(lambda s, d: li(s, d).select(*LI_COLUMNS))
-query("scan_column_shard", f"WITH {LI} SELECT l_partkey FROM li WHERE shard = 3")(lambda s, d: li(s, d).where("shard = 3").select("l_partkey"))
-query("scan_column_limit", "SELECT o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")(lambda s, d: read(s, d, "orders").orderBy("o_orderkey").limit(100).select("o_totalprice"))
-query("scan_column_all_shards", f"WITH {LI} SELECT shard, l_suppkey FROM li")(lambda s, d: li(s, d).select("shard", "l_suppkey"))
+
+
+def listed(spark: SparkSession, values: list, name: str, kind: str = "string") -> DataFrame:
+    """A catalog's answer as rows."""
+    return spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+
+
+query("scan_table", f"WITH {LI} SELECT {LI_LIST} FROM li")(lambda s, d: fixtures.lineitem(s, d).scan().select(*LI_COLUMNS))
+query("scan_column_shard", f"WITH {LI} SELECT l_partkey FROM li WHERE shard = 3")(lambda s, d: fixtures.lineitem(s, d).scan_column("l_partkey", shard=3).select("l_partkey"))
+query("scan_column_limit", "SELECT o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")(lambda s, d: fixtures.orders(s, d).scan_column("o_totalprice", limit=100).select("o_totalprice"))
+query("scan_column_all_shards", f"WITH {LI} SELECT shard, l_suppkey FROM li")(lambda s, d: fixtures.lineitem(s, d).scan_column("l_suppkey"))
 
 
 @query("scan_batches", f"WITH {LI} SELECT shard, CAST(sum(l_linenumber) AS BIGINT) AS total, count(*) AS n FROM li GROUP BY shard")
@@ -125,45 +135,51 @@ def scan_batches(spark, d):
             t = pa.Table.from_batches([b]).group_by("shard").aggregate([("l_linenumber", "sum"), ("l_linenumber", "count")])
             yield from t.rename_columns(["shard", "total", "n"]).to_batches()
 
-    got = li(spark, d).select("shard", "l_linenumber").mapInArrow(run, "shard int, total long, n long")
+    got = fixtures.lineitem(spark, d).scan().select("shard", "l_linenumber").mapInArrow(run, "shard int, total long, n long")
     return got.groupBy("shard").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-query("entity_lookup", f"WITH {LI} SELECT {LI_LIST} FROM li WHERE shard = 7 AND entity_id = 7")(lambda s, d: li(s, d).where("shard = 7 and entity_id = 7").select(*LI_COLUMNS))
-query("entity_lookup_many", f"WITH {LI} SELECT {LI_LIST} FROM li WHERE entity_id IN (1, 12, 123, 1234)")(lambda s, d: li(s, d).where(F.col("shard").isin(1, 2, 3, 4) & F.col("entity_id").isin(1, 12, 123, 1234)).select(*LI_COLUMNS))
+query("entity_lookup", f"WITH {LI} SELECT {LI_LIST} FROM li WHERE entity_id = 7")(lambda s, d: fixtures.lineitem(s, d).entity(7).select(*LI_COLUMNS))
+query("entity_lookup_many", f"WITH {LI} SELECT {LI_LIST} FROM li WHERE entity_id IN (1, 12, 123, 1234)")(lambda s, d: fixtures.lineitem(s, d).entities([1, 12, 123, 1234]).select(*LI_COLUMNS))
+HAS = "entity_id % 3 = 0 AND entity_id % 10 < 4"
+query("null_fill_missing_column", f"WITH {LI} SELECT entity_id, l_linenumber, CASE WHEN {HAS} THEN 'p' || CAST(l_linenumber AS VARCHAR) END AS priority FROM li")(lambda s, d: fixtures.varied(s, d).scan().select("entity_id", "l_linenumber", "priority"))
+query("fixed_value_column", "SELECT o_orderkey, 'org1' AS tenant FROM orders")(lambda s, d: fixtures.orders(s, d).fixed_column("tenant", "org1"))
 
+# -- catalog ------------------------------------------------------------------------------------
 
-@query("null_fill_missing_column", f"WITH {LI} SELECT entity_id, l_linenumber, CASE WHEN entity_id % 3 = 0 THEN 'p' || CAST(l_linenumber AS VARCHAR) END AS priority FROM li")
-def null_fill(spark, d):
-    rows = li(spark, d).select("entity_id", "l_linenumber")
-    new = rows.where("entity_id % 3 = 0").withColumn("priority", F.concat(F.lit("p"), F.col("l_linenumber").cast("string")))
-    return rows.where("entity_id % 3 <> 0").unionByName(new, allowMissingColumns=True)
+query("list_tenants", "SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'org1' ELSE 'org2' END AS tenant FROM events")(lambda s, d: listed(s, store.tenants(s, fixtures.registry(s, d)), "tenant"))
+query("list_tables", "SELECT DISTINCT event_type AS table_name FROM events WHERE user_id % 2 = 0")(lambda s, d: listed(s, store.tables(s, fixtures.registry(s, d), "org1"), "table_name"))
+query("list_intervals", f"WITH {SLICES} SELECT DISTINCT interval FROM s")(lambda s, d: listed(s, fixtures.events(s, d).intervals(), "interval"))
+query("list_interval_starts", f"WITH {SLICES} SELECT DISTINCT interval_start FROM s WHERE interval = 'weekly'")(lambda s, d: listed(s, fixtures.events(s, d).interval_starts("weekly"), "interval_start"))
+query("interval_starts_pred", f"WITH {SLICES} SELECT DISTINCT interval_start FROM s WHERE interval = 'weekly' AND interval_start >= '{WEEKS[1]}'")(lambda s, d: listed(s, fixtures.events(s, d).interval_starts("weekly", Predicate(">=", (dt.datetime(2024, 1, 8),))), "interval_start"))
+query("find_shards", f"WITH {SLICES} SELECT DISTINCT shard FROM s WHERE interval = 'weekly' AND interval_start = '{WEEKS[0]}'")(lambda s, d: listed(s, fixtures.events(s, d).find_shards("weekly", "2024-01-03 10:00:00"), "shard", "int"))
+query("find_shards_with_column", f"WITH {LI} SELECT DISTINCT shard FROM li WHERE {HAS}")(lambda s, d: listed(s, fixtures.varied(s, d).find_shards("single", "2024-01-01", "priority"), "shard", "int"))
 
 
-query("fixed_value_column", "SELECT o_orderkey, 'org1' AS tenant FROM orders")(lambda s, d: read(s, d, "orders").select("o_orderkey", F.lit("org1").alias("tenant")))
+def shard_rows(spark: SparkSession, ids: list) -> DataFrame:
+    return spark.createDataFrame([(x.interval, x.start, x.shard) for x in ids], "interval string, interval_start string, shard int")
 
-# -- catalog ------------------------------------------------------------------------------------
 
-TENANTS = "CASE WHEN user_id % 2 = 0 THEN 'org1' ELSE 'org2' END"
-query("list_tenants", f"SELECT DISTINCT {TENANTS} AS tenant FROM events")(lambda s, d: read(s, d, "events").select(F.expr(TENANTS).alias("tenant")).distinct())
-query("list_tables", "SELECT DISTINCT event_type AS table_name FROM events WHERE user_id % 2 = 0")(lambda s, d: read(s, d, "events").where("user_id % 2 = 0").select(F.col("event_type").alias("table_name")).distinct())
-query("list_intervals", f"WITH {SLICES} SELECT DISTINCT interval FROM s")(lambda s, d: slices(s, d).select("interval").distinct())
-query("list_interval_starts", f"WITH {SLICES} SELECT DISTINCT interval_start FROM s WHERE interval = 'weekly'")(lambda s, d: slices(s, d).where("interval = 'weekly'").select("interval_start").distinct())
-FROM = Predicate(">=", (WEEKS[1],))
-query("interval_starts_pred", f"WITH {SLICES} SELECT DISTINCT interval_start FROM s WHERE interval = 'weekly' AND interval_start >= '{WEEKS[1]}'")(lambda s, d: slices(s, d).where((F.col("interval") == "weekly") & FROM.column(F.col("interval_start"))).select("interval_start").distinct())
-query("find_shards", f"WITH {SLICES} SELECT DISTINCT shard FROM s WHERE interval = 'weekly' AND interval_start = '{WEEKS[0]}'")(lambda s, d: slices(s, d).where((F.col("interval") == "weekly") & (F.col("interval_start") == intervals.start("weekly", F.lit("2024-01-03 10:00:00").cast("timestamp")))).select("shard").distinct())
-query("find_shards_with_column", f"WITH {LI} SELECT DISTINCT shard FROM li WHERE entity_id % 3 = 0 AND entity_id < 100")(lambda s, d: null_fill(s, d).where("priority is not null and entity_id < 100").select(F.pmod("entity_id", F.lit(10)).cast("int").alias("shard")).distinct())
-query("find_shards_interval", f"WITH {SLICES} SELECT interval_start, shard FROM s WHERE interval = 'daily'")(lambda s, d: slices(s, d).where("interval = 'daily'").select("interval_start", "shard"))
-query("find_shards_start_pred", f"WITH {SLICES} SELECT interval, interval_start, shard FROM s WHERE interval = 'single' OR (interval = 'weekly' AND interval_start >= '{WEEKS[1]}')")(lambda s, d: slices(s, d).where((F.col("interval") == "single") | ((F.col("interval") == "weekly") & FROM.column(F.col("interval_start")))))
+query("find_shards_interval", f"WITH {SLICES} SELECT interval_start, shard FROM s WHERE interval = 'daily'")(lambda s, d: shard_rows(s, fixtures.events(s, d).shard_ids(Predicate("=", ("daily",)))).drop("interval"))
+query("find_shards_start_pred", f"WITH {SLICES} SELECT interval, interval_start, shard FROM s WHERE interval = 'single' OR (interval = 'weekly' AND interval_start >= '{WEEKS[1]}')")(
+    lambda s, d: shard_rows(s, fixtures.events(s, d).shard_ids(Predicate("in", ("single", "weekly")), Predicate(">=", (dt.datetime(2024, 1, 8),))))
+)
 query("find_shards_two_preds", f"WITH {SLICES} SELECT interval, interval_start, shard FROM s WHERE interval IN ('weekly', 'daily') AND interval_start BETWEEN '{WEEKS[0]}' AND '{WEEKS[1]}'")(
-    lambda s, d: slices(s, d).where(Predicate("in", ("weekly", "daily")).column(F.col("interval")) & Predicate("between", WEEKS).column(F.col("interval_start")))
+    lambda s, d: shard_rows(s, fixtures.events(s, d).shard_ids(Predicate("in", ("weekly", "daily")), Predicate("between", WEEKS)))
 )
+query("list_columns", "SELECT unnest(['event_id', 'event_type', 'props', 'ts', 'user_id', 'value']) AS column_name")(lambda s, d: listed(s, [c.name for c in fixtures.events(s, d).column_ids()], "column_name"))
+query("column_by_name", "SELECT 'value_D' AS column_id UNION ALL SELECT 'user_id_L'")(lambda s, d: listed(s, [str(fixtures.events(s, d).column_id("VALUE")), str(fixtures.events(s, d).entity_id_column())], "column_id"))
+
+
+@query("existence", f"WITH {SLICES} SELECT count(*) FILTER (WHERE interval = 'weekly') > 0 AS has_interval, count(*) FILTER (WHERE interval = 'weekly' AND interval_start = '{WEEKS[1]}') > 0 AS has_start, count(*) FILTER (WHERE interval = 'weekly' AND shard = 99) > 0 AS has_shard, false AS has_column FROM s")
+def existence(spark, d):
+    t = fixtures.events(spark, d)
+    return spark.createDataFrame([(t.has("weekly"), t.has("weekly", WEEKS[1]), t.has("weekly", shard=99), t.has("weekly", column="valu"))], "has_interval boolean, has_start boolean, has_shard boolean, has_column boolean")
 
 
-@query("list_columns", "SELECT unnest(['event_id', 'event_type', 'props', 'ts', 'user_id', 'value']) AS column_name")
-def list_columns(spark, d):
-    names = read(spark, d, "events").columns
-    return spark.range(1).select(F.explode(F.array(*(F.lit(n) for n in names))).alias("column_name"))
+@query("find_shard_of_entity", f"SELECT {jshard('50')} AS shard")
+def find_shard(spark, d):
+    return listed(spark, [fixtures.events(spark, d).find_shard_id("weekly", "2024-01-03", 50).shard], "shard", "int")
 
 
 query("shard_path", f"WITH {SLICES} SELECT 'org1/events/' || interval || '/' || interval_start || '/' || CAST(shard AS VARCHAR) AS path FROM s")(lambda s, d: slices(s, d).select(sharding.shard_path(F.lit("org1"), F.lit("events"), F.col("interval"), F.col("interval_start"), F.col("shard")).alias("path")))
@@ -205,7 +221,7 @@ for _name, _test, _sql in (
 for _name, _op, _sql in (
     ("dict_pred_eq", ("=", ("R",)), "l_returnflag = 'R'"), ("dict_pred_ne", ("!=", ("R",)), "l_returnflag <> 'R'"), ("dict_pred_between", ("between", ("B", "P")), "l_returnflag BETWEEN 'B' AND 'P'"), ("dict_pred_gt", (">", ("N",)), "l_returnflag > 'N'"),
 ):
-    query(_name, f"WITH {LI} SELECT shard, bool_or({_sql}) AS passes FROM li GROUP BY shard")(lambda s, d, o=_op: li(s, d).select("shard", "l_returnflag").distinct().groupBy("shard").agg(F.bool_or(Predicate(*o).column(F.col("l_returnflag"))).alias("passes")))
+    query(_name, f"WITH {LI} SELECT shard, bool_or({_sql}) AS passes FROM li GROUP BY shard")(lambda s, d, o=_op: stats.dictionary_passes(li(s, d), "l_returnflag", Predicate(*o)))
 
 # -- intervals and shards -----------------------------------------------------------------------
 
@@ -249,19 +265,21 @@ def reject_stale(spark, d):
     return fold.live(ev(spark, d).where("op = 'write' and version % 3 = 1"), stored(spark, d)).where("pos >= 0").select("entity_id", "version")
 
 
-@query("upsert_replace_rows", f"WITH {EVD}, old AS (SELECT * FROM evd WHERE version = 3), new AS (SELECT * FROM evd WHERE version = 4) SELECT entity_id, event_id, value FROM old WHERE entity_id NOT IN (SELECT entity_id FROM new) UNION ALL SELECT entity_id, event_id, value FROM new")
+@query("upsert_replace_rows", f"WITH {EVD}, old AS (SELECT * FROM evd WHERE version < 15), new AS (SELECT * FROM evd WHERE version >= 15) SELECT entity_id, event_id, value FROM old WHERE entity_id NOT IN (SELECT entity_id FROM new) UNION ALL SELECT entity_id, event_id, value FROM new")
 def replace_rows(spark, d):
     rows = evd(spark, d).select("entity_id", "version", "event_id", "value")
-    new = rows.where("version = 4")
-    return fold.replace_rows(rows.where("version = 3"), new, new.select("entity_id").distinct()).select("entity_id", "event_id", "value")
+    new = rows.where("version >= 15")
+    return fold.replace_rows(rows.where("version < 15"), new, new.select("entity_id").distinct()).select("entity_id", "event_id", "value")
 
 
 query("delete_versioned", f"WITH {EV}, {STORED}, x AS (SELECT entity_id, max(version) AS version FROM ev WHERE op = 'delete' GROUP BY entity_id) SELECT entity_id, stored.version FROM stored LEFT JOIN x USING (entity_id) WHERE x.version IS NULL OR x.version < stored.version")(
     lambda s, d: fold.live(ev(s, d).where("op = 'delete'"), stored(s, d)).select("entity_id", "version")
 )
-query("delete_stale_ignored", f"WITH {EV}, {STORED}, x AS (SELECT DISTINCT entity_id FROM ev WHERE op = 'delete' AND version < 50) SELECT entity_id, stored.version FROM stored JOIN x USING (entity_id) WHERE stored.version >= 50")(
-    lambda s, d: fold.live(ev(s, d).where("op = 'delete' and version < 50"), stored(s, d).where("version >= 50")).join(ev(s, d).where("op = 'delete' and version < 50").select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "version")
-)
+@query("delete_stale_ignored", f"WITH {EV}, {STORED}, x AS (SELECT entity_id, min(version) AS version FROM ev WHERE op = 'delete' GROUP BY entity_id) SELECT entity_id, stored.version FROM stored JOIN x USING (entity_id) WHERE x.version < stored.version")
+def stale_delete(spark, d):
+    """Of entities with a delete, those whose first one is older than what is stored."""
+    first = ev(spark, d).where("op = 'delete'").groupBy("entity_id", "op").agg(F.min("version").alias("version"), F.min("pos").alias("pos"))
+    return fold.live(first, stored(spark, d)).join(first.select("entity_id"), "entity_id", "left_semi").select("entity_id", "version")
 
 
 @query("delete_then_readd", f"WITH {EV} SELECT entity_id, min(version) AS version FROM ev WHERE op = 'write' GROUP BY entity_id")
@@ -279,21 +297,13 @@ query("fold_ops", f"WITH {EV}, ops AS (SELECT * FROM ev), {FOLD} SELECT entity_i
 # -- snapshots ----------------------------------------------------------------------------------
 
 
-@query("snapshot_to_interval", f"WITH {sbuckets()} SELECT event_id, '{WEEKS[1]}' AS interval_start, shard FROM b WHERE shard >= 2")
-def snapshot(spark, d):
-    """Shards 0 and 1 are at the destination already and stay out."""
-    rows = buckets(spark, d, "single")
-    there = spark.range(2).select(F.col("id").cast("int").alias("shard"))
-    return rows.join(there, "shard", "left_anti").select("event_id", F.lit(WEEKS[1]).alias("interval_start"), "shard")
-
-
-@query("copy_previous_interval", f"WITH {sbuckets()} SELECT event_id, '{WEEKS[1]}' AS interval_start, shard FROM b WHERE interval_start = '{WEEKS[0]}'")
-def copy_previous(spark, d):
-    before = intervals.start("weekly", F.lit("2024-01-10").cast("timestamp"), -1)
-    return buckets(spark, d).where(F.col("interval_start") == before).select("event_id", F.lit(WEEKS[1]).alias("interval_start"), "shard")
-
-
-query("drop_interval_start", f"WITH {sbuckets()} SELECT interval_start, count(*) AS n FROM b WHERE interval_start <> '{WEEKS[0]}' GROUP BY interval_start")(lambda s, d: buckets(s, d).where(F.col("interval_start") != WEEKS[0]).groupBy("interval_start").agg(F.count("*").alias("n")))
+query("snapshot_to_interval", f"WITH {sbuckets()} SELECT event_id, '{WEEKS[1]}' AS interval_start, shard FROM b WHERE shard >= 2 OR interval_start = '{WEEKS[1]}'")(
+    lambda s, d: fixtures.destination(s, d, WEEKS[1]).scan(Predicate("=", ("weekly",))).select("event_id", "interval_start", "shard")  # shards 0 and 1 were there already and stay as they were
+)
+query("copy_previous_interval", f"WITH {sbuckets()} SELECT event_id, '{WEEKS[1]}' AS interval_start, shard FROM b WHERE interval_start = '{WEEKS[0]}'")(
+    lambda s, d: fixtures.followed(s, d, WEEKS[0], "2024-01-10").scan(start=Predicate("=", (WEEKS[1],))).select("event_id", "interval_start", "shard")
+)
+query("drop_interval_start", f"WITH {sbuckets()} SELECT interval_start, count(*) AS n FROM b WHERE interval_start <> '{WEEKS[0]}' GROUP BY interval_start")(lambda s, d: fixtures.dropped(s, d, WEEKS[0]).scan().groupBy("interval_start").agg(F.count("*").alias("n")))
 
 # -- statistics ---------------------------------------------------------------------------------
 
@@ -301,20 +311,17 @@ query("column_zone_map", f"WITH {ZONES} SELECT * FROM z")(lambda s, d: stats.zon
 query("column_cardinality", f"WITH {LI} SELECT shard, count(DISTINCT l_partkey) AS cardinality FROM li GROUP BY shard")(lambda s, d: stats.cardinality(li(s, d), "l_partkey"))
 query("shard_counts", f"WITH {LI} SELECT shard, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities FROM li GROUP BY shard")(lambda s, d: stats.counts(li(s, d), "entity_id"))
 _META = " UNION ALL ".join(f"SELECT shard, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, '{c}' AS column_name, min(CAST({c} AS DOUBLE)) AS min_value, max(CAST({c} AS DOUBLE)) AS max_value, count(DISTINCT {c}) AS cardinality, count(*) - count({c}) AS n_nulls FROM li GROUP BY shard" for c in ("l_quantity", "l_suppkey"))
-query("column_metadata", f"WITH {LI} {_META}")(lambda s, d: stats.column_metadata(li(s, d), ["l_quantity", "l_suppkey"], "entity_id"))
-query("shard_metadata", f"WITH {LI}, m AS ({_META}) SELECT shard, max(n_rows) AS n_rows, count(*) AS n_columns FROM m GROUP BY shard")(lambda s, d: stats.column_metadata(li(s, d), ["l_quantity", "l_suppkey"], "entity_id").groupBy("shard").agg(F.max("n_rows").alias("n_rows"), F.count("*").alias("n_columns")))
+query("column_metadata", f"WITH {LI} {_META}")(lambda s, d: stats.column_metadata(li(s, d), ["l_quantity", "l_suppkey"], "entity_id", exact=True))
+query("shard_metadata", f"WITH {LI}, m AS ({_META}) SELECT shard, max(n_rows) AS n_rows, count(*) AS n_columns, min(min_value) AS least, max(max_value) AS most, max(n_nulls) AS n_nulls FROM m GROUP BY shard")(
+    lambda s, d: fixtures.lineitem(s, d).shard_metadata("single", "2024-01-01", ["l_quantity", "l_suppkey"]).groupBy("shard").agg(F.max("n_rows").alias("n_rows"), F.count("*").alias("n_columns"), F.min("min_value").alias("least"), F.max("max_value").alias("most"), F.max("n_nulls").alias("n_nulls"))
+)
 query("fragmentation", f"WITH {EVD}, l AS (SELECT entity_id, max(version) AS v FROM evd GROUP BY entity_id) SELECT CAST(entity_id % 10 AS INTEGER) AS shard, count(*) AS n_rows, CAST(floor(100 * sum(CASE WHEN version = v THEN 0 ELSE 1 END) / count(*)) AS BIGINT) AS fragmentation FROM evd JOIN l USING (entity_id) GROUP BY 1")(
     lambda s, d: stats.fragmentation(evd(s, d).withColumn("shard", F.pmod("entity_id", F.lit(10)).cast("int")), evd(s, d).groupBy("entity_id").agg(F.max("version").alias("version")), "entity_id")
 )
 query("entity_summaries", f"WITH {EVD} SELECT entity_id, count(*) AS n_rows, max(version) AS version FROM evd GROUP BY entity_id")(lambda s, d: stats.entity_summaries(evd(s, d), "entity_id", "version"))
 
 
-@query("entity_order", f"WITH {LI}, e AS (SELECT shard, entity_id, count(*) AS n_rows FROM li GROUP BY shard, entity_id) SELECT shard, entity_id, row_number() OVER (PARTITION BY shard ORDER BY n_rows, entity_id) AS place FROM e")
-def entity_order(spark, d):
-    e = li(spark, d).groupBy("shard", "entity_id").agg(F.count("*").alias("n_rows"))
-    return e.select("shard", "entity_id", F.row_number().over(Window.partitionBy("shard").orderBy("n_rows", "entity_id")).cast("bigint").alias("place"))
-
-
+query("entity_order", f"WITH {LI}, e AS (SELECT shard, entity_id, count(*) AS n_rows FROM li GROUP BY shard, entity_id) SELECT shard, entity_id, row_number() OVER (PARTITION BY shard ORDER BY n_rows, entity_id) AS place FROM e")(lambda s, d: stats.entity_order(li(s, d), "entity_id"))
 query("dictionary_encode", "SELECT c_mktsegment AS value, CAST(dense_rank() OVER (ORDER BY c_mktsegment) + 1 AS BIGINT) AS surrogate FROM (SELECT DISTINCT c_mktsegment FROM customer)")(lambda s, d: stats.dictionary(read(s, d, "customer"), "c_mktsegment"))
 query("dictionary_decode", "SELECT c_custkey, c_mktsegment FROM customer")(
     lambda s, d: read(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("value")).join(stats.dictionary(read(s, d, "customer"), "c_mktsegment"), "value").select("c_custkey", "surrogate").join(stats.dictionary(read(s, d, "customer"), "c_mktsegment"), "surrogate").select("c_custkey", F.col("value").alias("c_mktsegment"))
@@ -332,7 +339,7 @@ def null_positions(spark, d):
 
 
 query("compact", f"WITH {EVD}, l AS (SELECT entity_id, max(version) AS v FROM evd GROUP BY entity_id) SELECT entity_id, version, event_id FROM evd JOIN l USING (entity_id) WHERE version = v")(
-    lambda s, d: evd(s, d).join(evd(s, d).groupBy("entity_id").agg(F.max("version").alias("version")), ["entity_id", "version"], "left_semi").select("entity_id", "version", "event_id")
+    lambda s, d: fixtures.by_day(s, d).scan().select(F.col("user_id").alias("entity_id"), F.col("_version").alias("version"), "event_id")
 )
 query("resync_new_column", "SELECT o_orderkey AS entity_id, l_tax FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_orderkey % 3 = 0) ON o_orderkey = l_orderkey")(lambda s, d: stats.resync(read(s, d, "orders").select(F.col("o_orderkey").alias("entity_id")), li(s, d).where("entity_id % 3 = 0").select("entity_id", "l_tax"), "entity_id"))
 query("consistency_violations", f"WITH {EVD}, s AS (SELECT entity_id, count(*) AS n_rows, max(version) AS version FROM evd GROUP BY entity_id) SELECT 'value' AS column_name, entity_id, CASE WHEN entity_id % 5 = 0 THEN 'missing' ELSE 'rows' END AS why FROM s WHERE entity_id % 5 = 0 OR entity_id % 7 = 0")(
@@ -343,13 +350,22 @@ query("entity_id_column", "SELECT l_orderkey AS entity_id FROM lineitem")(lambda
 # -- differences --------------------------------------------------------------------------------
 
 VALUES = ", ".join(f"{w}v AS (SELECT entity_id, string_agg(event_type, ',' ORDER BY event_type) AS v FROM {w} GROUP BY entity_id)" for w in ("w1", "w2"))
-query("diff_added", f"WITH {W}, {VALUES} SELECT entity_id, w2v.v AS after_values FROM w2v ANTI JOIN w1v USING (entity_id)")(lambda s, d: diff.compare(week(s, d, 0), week(s, d, 1), "entity_id", "event_type").where("change = 'added'").select("entity_id", "after_values"))
-query("diff_removed", f"WITH {W}, {VALUES} SELECT entity_id, w1v.v AS before_values FROM w1v ANTI JOIN w2v USING (entity_id)")(lambda s, d: diff.compare(week(s, d, 0), week(s, d, 1), "entity_id", "event_type").where("change = 'removed'").select("entity_id", "before_values"))
-query("diff_changed", f"WITH {W}, {VALUES} SELECT entity_id, w1v.v AS before_values, w2v.v AS after_values FROM w1v JOIN w2v USING (entity_id) WHERE w1v.v <> w2v.v")(lambda s, d: diff.compare(week(s, d, 0), week(s, d, 1), "entity_id", "event_type").where("change = 'changed'").drop("change"))
-query("table_diff_plus", f"WITH {W} SELECT entity_id, event_type FROM w2 EXCEPT ALL SELECT entity_id, event_type FROM w1")(lambda s, d: diff.plus(week(s, d, 0).select("entity_id", "event_type"), week(s, d, 1).select("entity_id", "event_type")))
-query("table_diff_minus", f"WITH {W} SELECT entity_id, event_type FROM w1 EXCEPT ALL SELECT entity_id, event_type FROM w2")(lambda s, d: diff.minus(week(s, d, 0).select("entity_id", "event_type"), week(s, d, 1).select("entity_id", "event_type")))
+query("diff_added", f"WITH {W}, {VALUES} SELECT entity_id, w2v.v AS after_values FROM w2v ANTI JOIN w1v USING (entity_id)")(lambda s, d: diff.compare(day(s, d, 0), day(s, d, 1), "entity_id", "event_type").where("change = 'added'").select("entity_id", "after_values"))
+query("diff_removed", f"WITH {W}, {VALUES} SELECT entity_id, w1v.v AS before_values FROM w1v ANTI JOIN w2v USING (entity_id)")(lambda s, d: diff.compare(day(s, d, 0), day(s, d, 1), "entity_id", "event_type").where("change = 'removed'").select("entity_id", "before_values"))
+query("diff_changed", f"WITH {W}, {VALUES} SELECT entity_id, w1v.v AS before_values, w2v.v AS after_values FROM w1v JOIN w2v USING (entity_id) WHERE w1v.v <> w2v.v")(lambda s, d: diff.compare(day(s, d, 0), day(s, d, 1), "entity_id", "event_type").where("change = 'changed'").drop("change"))
+query("table_diff_plus", f"WITH {W} SELECT entity_id, event_type FROM w2 EXCEPT ALL SELECT entity_id, event_type FROM w1")(lambda s, d: diff.plus(day(s, d, 0).select("entity_id", "event_type"), day(s, d, 1).select("entity_id", "event_type")))
+query("table_diff_minus", f"WITH {W} SELECT entity_id, event_type FROM w1 EXCEPT ALL SELECT entity_id, event_type FROM w2")(lambda s, d: diff.minus(day(s, d, 0).select("entity_id", "event_type"), day(s, d, 1).select("entity_id", "event_type")))
 query("entity_visual", f"WITH {EVD} SELECT entity_id, CAST(entity_id AS VARCHAR) || ' [' || CAST(count(*) AS VARCHAR) || ']: ' || string_agg(event_type, ' ' ORDER BY event_id) AS line FROM evd GROUP BY entity_id")(lambda s, d: diff.visual(evd(s, d), "entity_id", "event_type", ["event_id"]))
-query("capture_log")(lambda s, d: ev(s, d).select(F.to_json(F.struct("entity_id", "version", "op", "event_type", "value")).alias("request")))
+query("value_traversal", f"WITH {EVD} SELECT entity_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE event_type = 'view') AS INTEGER) AS n_nulls, string_agg(CASE WHEN event_type <> 'view' THEN event_type END, ',' ORDER BY event_id) AS line FROM evd GROUP BY entity_id")(
+    lambda s, d: diff.traverse(evd(s, d).withColumn("event_type", F.expr(NULLED)), "entity_id", "event_type", ["event_id"]).select("entity_id", F.size("values").alias("n"), F.size("nulls").alias("n_nulls"), F.when(F.exists("values", lambda x: x.isNotNull()), F.array_join("values", ",")).alias("line"))
+)
+query("capture_log", "SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'write' END AS kind, user_id, event_id AS version, CASE WHEN event_type <> 'error' THEN event_type END AS event_type FROM events WHERE event_id % 2 = 0")(
+    lambda s, d: fixtures.requests(s, d).captured().select(F.col("_kind").alias("kind"), F.from_json("request", "user_id bigint, _version bigint, event_type string").alias("r")).select("kind", "r.user_id", F.col("r._version").alias("version"), "r.event_type")
+)
+query("requests_folded", f"WITH {EV}, ops AS (SELECT entity_id, version, CASE WHEN op = 'write' THEN 0 ELSE 1 END AS pos, op FROM ev), {FOLD} SELECT entity_id, version FROM won WHERE op = 'write'")(lambda s, d: fixtures.requests(s, d).scan().select(F.col("user_id").alias("entity_id"), F.col("_version").alias("version")))
+query("analyzer_dump", f"WITH {LI} SELECT CAST(shard AS VARCHAR) AS shard, 'metadata' AS kind, CAST(1 AS BIGINT) AS n FROM li GROUP BY shard UNION ALL SELECT CAST(shard AS VARCHAR), 'entity', count(DISTINCT entity_id) FROM li GROUP BY shard UNION ALL SELECT CAST(shard AS VARCHAR), 'summary', count(DISTINCT entity_id) FROM li GROUP BY shard UNION ALL SELECT NULL, 'dictionary', count(DISTINCT l_returnflag) FROM li")(
+    lambda s, d: analyze.dump(li(s, d).withColumn("_version", F.lit(0)), "entity_id", "_version", ["l_returnflag"], ["l_linenumber", "l_partkey"]).groupBy("shard", "kind").agg(F.count("*").alias("n"))
+)
 
 # -- SQL over tables (the host engine's own capability) -----------------------------------------
 

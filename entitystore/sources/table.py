@@ -2,225 +2,493 @@
 
 <base>/<tenant>/<table>/xact=<id>/interval=<name>/interval_start=<iso>/shard=<n>/*.parquet
 
-A commit stages whole new slices under its own directory and publishes them together.  Scans choose
-slices from the manifest, so predicates on interval, start and shard prune before Spark plans.
+A commit stages whole new slices of the shards that its operations touch under its own directory and
+publishes them together.  Scans choose slices from the manifest, so predicates on interval, start and shard
+prune before Spark plans, and read with the schema that the manifest holds, so no footers are merged.
+Snapshots and copies name the files of their source and copy nothing.
 """
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..functions import intervals
 from ..functions.predicates import Predicate
-from ..functions.sharding import ShardStrategy, hashed
+from ..functions.sharding import ShardId, ShardStrategy, hashed
+from ..operators import stats
 from ..plans import fold
-from ..types import EntityIdTypeError
-from .manifest import Manifests, TransactionError
+from ..types import ColumnId, EntityIdTypeError, code_of
+from .manifest import Manifests, Token, TransactionError, check, new_token, record
 
 SLICE = ("interval", "interval_start", "shard")
 PLACES = ("xact", *SLICE)
+OWN = ("_version", "_instance_id")
+#: Rows of a file that a compaction aims at hold so many bytes.
+FILE_BYTES = 128 << 20
+
+
+class ConsistencyError(RuntimeError):
+    """A write would leave columns of an entity at different versions."""
 
 
 def tenants(spark: SparkSession, base: str) -> list[str]:
-    return Manifests(spark, base).children(base)
+    """Tenants of a store; names that begin with an underscore are its own."""
+    return [t for t in Manifests(spark, base).children(base) if not t.startswith("_")]
 
 
 def tables(spark: SparkSession, base: str, tenant: str) -> list[str]:
-    return Manifests(spark, base).children(f"{base}/{tenant}")
+    m = Manifests(spark, base)
+    return [t for t in m.children(f"{base}/{tenant}") if m.exists(f"{base}/{tenant}/{t}/_manifests")]
+
+
+def table_exists(spark: SparkSession, base: str, tenant: str, name: str) -> bool:
+    return name in tables(spark, base, tenant)
+
+
+def drop_table(spark: SparkSession, base: str, tenant: str, name: str) -> None:
+    """Deletes a table with its files; none: nothing happens."""
+    Manifests(spark, base).delete(f"{base}/{tenant}/{name}")
+
+
+def drop_tenant(spark: SparkSession, base: str, tenant: str) -> None:
+    Manifests(spark, base).delete(f"{base}/{tenant}")
+
+
+def _meets(predicate: Predicate | None, start: str) -> bool:
+    """Whether a bucket's start, as text or, for operands that are instants, as an instant in UTC, passes."""
+    if predicate is None:
+        return True
+    if not any(isinstance(v, dt.date) for v in predicate.values):
+        return predicate.test(start)
+
+    def naive(v: dt.date) -> dt.datetime:
+        v = v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
+        return v.astimezone(dt.UTC).replace(tzinfo=None) if v.tzinfo else v
+
+    return Predicate(predicate.op, tuple(map(naive, predicate.values)), predicate.ignore_case, predicate.strict).test(naive(dt.datetime.fromisoformat(start)))
 
 
 class EntityTable:
-    def __init__(self, spark: SparkSession, base: str, tenant: str, name: str, key: str = "entity_id", shards: int = 10, strategy: ShardStrategy | None = None, compression: str = "zstd"):
+    """A table of entities.
+
+    shards or strategy: how ids are dealt out.  retain: versions to keep after each commit (None: all).
+    capture: a predicate on rows of requests to log, a Column, or True for all.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, tenant: str, name: str, key: str = "entity_id", shards: int = 10, strategy: ShardStrategy | None = None, compression: str = "zstd", retain: int | None = None, capture: Column | bool | None = None):
         self.spark, self.key, self.compression = spark, key, compression
-        self.tenant, self.name, self.path = tenant, name, f"{base}/{tenant}/{name}"
-        self.strategy = strategy or hashed(shards)
+        self.base, self.tenant, self.name, self.path = base, tenant, name, f"{base}/{tenant}/{name}"
+        self.strategy, self.retain, self.capture = strategy or hashed(shards), retain, capture
         self.manifests = Manifests(spark, self.path)
-        self._xact: str | None = None
+        self._token: Token | None = None
 
     # -- catalog --------------------------------------------------------------------------------
 
+    def exists(self) -> bool:
+        return bool(self.manifests.numbers())
+
+    def create(self) -> int:
+        """Publishes an empty table if there is none; the version number."""
+        number, state = self.manifests.latest()
+        if not number:
+            self.manifests.publish(number := 1, state | {"properties": {"key": self.key}})
+        return number
+
     def slices(self, interval: Predicate | None = None, start: Predicate | None = None, shard: int | None = None) -> list[dict]:
-        """The table's slices; single intervals ignore the predicate on starts."""
+        """The table's slices; single intervals ignore the predicate on starts, whose operands are texts or instants."""
         out = []
         for s in self.manifests.latest()[1]["slices"]:
             if interval and not interval.test(s["interval"]):
                 continue
-            if start and s["interval"] != intervals.SINGLE and not start.test(s["interval_start"]):
+            if s["interval"] != intervals.SINGLE and not _meets(start, s["interval_start"]):
                 continue
             if shard is None or s["shard"] == shard:
                 out.append(s)
         return out
 
+    def _bucket(self, interval: str, ts: str | dt.datetime, offset: int = 0) -> str:
+        """The start of the bucket of an instant."""
+        return self.spark.range(1).select(intervals.start(interval, F.lit(ts).cast("timestamp"), offset)).first()[0]
+
+    def _at(self, interval: str, ts: str | dt.datetime) -> list[dict]:
+        start = self._bucket(interval, ts)
+        return [s for s in self.slices(Predicate("=", (interval,))) if s["interval_start"] == start]
+
+    def intervals(self) -> list[str]:
+        return sorted({s["interval"] for s in self.slices()})
+
+    def interval_starts(self, interval: str, predicate: Predicate | None = None) -> list[str]:
+        return sorted({s["interval_start"] for s in self.slices(Predicate("=", (interval,)), predicate)})
+
+    def find_shards(self, interval: str, ts: str | dt.datetime, column: str | None = None) -> list[int]:
+        """Shards of the bucket that an instant lies in, those that have a column of exactly that name if one is given."""
+        return sorted(s["shard"] for s in self._at(interval, ts) if column is None or column in s["columns"])
+
+    def shard_ids(self, interval: Predicate | None = None, start: Predicate | None = None) -> list[ShardId]:
+        return sorted(ShardId(self.tenant, self.name, s["interval"], s["interval_start"], s["shard"]) for s in self.slices(interval, start))
+
+    def find_shard(self, value: object) -> int:
+        """The shard of an entity id."""
+        return self.spark.range(1).select(self.strategy(self._id(value))).first()[0]
+
+    def find_shard_id(self, interval: str, ts: str | dt.datetime, value: object) -> ShardId:
+        return ShardId(self.tenant, self.name, interval, self._bucket(interval, ts), self.find_shard(value))
+
+    def has(self, interval: str | None = None, start: str | None = None, shard: int | None = None, column: str | None = None) -> bool:
+        """Whether there is a slice of an interval, a bucket of it, a shard of that, with a column; what is not given is any."""
+        return any(
+            (interval is None or s["interval"] == interval) and (start is None or s["interval_start"] == start) and (shard is None or s["shard"] == shard) and (column is None or column in s["columns"])
+            for s in self.slices()
+        )
+
+    def shard_exists(self, shard: ShardId) -> bool:
+        return (shard.tenant, shard.table) == (self.tenant, self.name) and self.has(shard.interval, shard.start, shard.shard)
+
+    def column_ids(self, interval: str | None = None, ts: str | dt.datetime | None = None, shard: int | None = None) -> list[ColumnId]:
+        """Columns of the table, of a bucket or of a shard of it: the union over slices, the entity id's among them."""
+        chosen = self.slices() if interval is None else self._at(interval, ts)
+        types = {n: t for s in chosen if shard is None or s["shard"] == shard for n, t in s["columns"].items() if n not in OWN}
+        return [ColumnId(n, code_of(t)) for n, t in sorted(types.items())]
+
     def columns(self) -> list[str]:
         """All columns that any slice has."""
-        return [c for c in self.scan().columns if c not in SLICE]
+        return [c.name for c in self.column_ids()] + [c for c in OWN if any(c in s["columns"] for s in self.slices())]
+
+    def column_id(self, name: str) -> ColumnId | None:
+        """A column by its name in any case; the same case first."""
+        ids = self.column_ids()
+        return next((c for c in ids if c.name == name), next((c for c in ids if c.name.lower() == name.lower()), None))
+
+    def entity_id_column(self) -> ColumnId | None:
+        """The column that holds entity ids, as the table was written; None before the first write."""
+        p = self.manifests.latest()[1]["properties"]
+        return ColumnId(p["key"], code_of(p["key_type"])) if "key_type" in p else None
+
+    def shard_metadata(self, interval: str, ts: str | dt.datetime, columns: list[str] | None = None, shard: int | None = None) -> DataFrame:
+        """Statistics of numeric columns by shard of a bucket: rows, entities, zone map, cardinality, nulls."""
+        rows = self._read([s for s in self._at(interval, ts) if shard is None or s["shard"] == shard])
+        numeric = [c for c, t in rows.dtypes if t in ("int", "bigint", "float", "double") and c not in (*SLICE, *OWN, self.key)]
+        return stats.column_metadata(rows, columns or numeric, self.key)
 
     # -- reading --------------------------------------------------------------------------------
 
     def scan(self, interval: Predicate | None = None, start: Predicate | None = None, shard: int | None = None, empty_as_null: bool = False) -> DataFrame:
         """Rows of the chosen slices; a column that a slice lacks reads as null."""
-        chosen = self.slices(interval, start, shard)
-        if not chosen:
-            every = self.slices()
-            if not every:
-                return self.spark.createDataFrame([], f"{self.key} string, _version bigint, _instance_id string, interval string, interval_start string, shard int")
-            return self._read(every[:1]).limit(0)
-        rows = self._read(chosen)
+        rows = self._read(self.slices(interval, start, shard))
         if empty_as_null:
             rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c, t in rows.dtypes if t == "string" and c not in SLICE})
         return rows
 
+    def scan_column(self, name: str, interval: Predicate | None = None, start: Predicate | None = None, shard: int | None = None, limit: int | None = None) -> DataFrame:
+        """shard and a column in the order of shards and ids; the first ``limit`` rows of it if one is given."""
+        rows = self.scan(interval, start, shard)
+        have = rows.withColumn(name, F.lit(None).cast("string")) if name not in rows.columns else rows
+        if limit is None:
+            return have.select("shard", name)
+        return have.orderBy("shard", self.key).limit(limit).select("shard", name)
+
+    def fixed_column(self, name: str, value: object, interval: Predicate | None = None, start: Predicate | None = None, shard: int | None = None) -> DataFrame:
+        """The key of each row and a column of one value."""
+        return self.scan(interval, start, shard).select(self.key, F.lit(value).alias(name))
+
+    def _schema(self, chosen: list[dict]) -> StructType:
+        types = {n: t for s in self.manifests.latest()[1]["slices"] for n, t in s["columns"].items()} | {n: t for s in chosen for n, t in s["columns"].items()}
+        return StructType([StructField(n, _parse_datatype_string(t)) for n, t in types.items()])
+
     def _read(self, chosen: list[dict]) -> DataFrame:
-        paths = [f"{self.path}/xact={s['xact']}/interval={s['interval']}/interval_start={s['interval_start'].replace(':', '%3A')}/shard={s['shard']}" for s in chosen]
-        return self.spark.read.option("basePath", self.path).option("mergeSchema", "true").parquet(*paths).drop("xact").withColumns({"interval_start": F.col("interval_start").cast("string"), "interval": F.col("interval").cast("string")})
+        schema = self._schema(chosen)
+        places = StructType([StructField("interval", _parse_datatype_string("string")), StructField("interval_start", _parse_datatype_string("string")), StructField("shard", _parse_datatype_string("int"))])
+        if not chosen:
+            known = schema if schema.fields else StructType([StructField(n, _parse_datatype_string(t)) for n, t in ((self.key, "string"), ("_version", "bigint"), ("_instance_id", "string"))])
+            return self.spark.createDataFrame([], StructType(known.fields + places.fields))
+        parts = []
+        groups: dict[tuple | None, list[dict]] = {}  # slices under their own name, and copies by the name they go by
+        for s in chosen:
+            groups.setdefault(tuple(s[c] for c in SLICE) if s.get("source") else None, []).append(s)
+        full = StructType(schema.fields + [StructField("xact", _parse_datatype_string("string"))] + places.fields)
+        for name, part in groups.items():
+            paths = [self._dir(s) for s in part]
+            rows = self.spark.read.schema(full).option("basePath", self.path).parquet(*paths).drop("xact")
+            if name:
+                rows = rows.withColumns({c: F.lit(v) for c, v in zip(SLICE, name, strict=True)})
+            parts.append(rows.select(*schema.names, *SLICE))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _dir(self, s: dict) -> str:
+        s = s.get("source") or s
+        return f"{self.path}/xact={s['xact']}/interval={s['interval']}/interval_start={s['interval_start'].replace(':', '%3A')}/shard={s['shard']}"
+
+    def _id(self, value: object) -> Column:
+        return F.lit(value).cast("string" if isinstance(value, str) else "bigint")
 
     def entity(self, value: object, interval: Predicate | None = None, start: Predicate | None = None) -> DataFrame:
         """Rows of one entity; only its shard is read."""
-        same = F.lit(value).cast("string" if isinstance(value, str) else "bigint")
-        shard = self.spark.range(1).select(self.strategy(same)).first()[0]
-        return self.scan(interval, start, shard).where(F.col(self.key) == same)
+        return self.entities([value], interval, start)
+
+    def entities(self, values: list, interval: Predicate | None = None, start: Predicate | None = None) -> DataFrame:
+        """Rows of some entities; only their shards are read."""
+        ids = [self._id(v) for v in values]
+        shards = {r[0] for r in self.spark.range(1).select(F.explode(F.array(*map(self.strategy, ids)))).collect()}  # one a value asked for
+        return self._read([s for s in self.slices(interval, start) if s["shard"] in shards]).where(F.col(self.key).isin(*ids))
 
     # -- transactions ---------------------------------------------------------------------------
 
-    def begin(self) -> str:
-        if self._xact:
-            raise ValueError("a transaction is under way")
-        self._xact, self._pending, self._dropped = uuid.uuid4().hex, [], []
+    def begin(self) -> Token:
+        self._idle()
         self._baseline = self.manifests.latest()
-        return self._xact
+        self._token, self._pending = new_token(self._baseline[1].get("record", {})), []
+        return self._token
+
+    def _idle(self) -> None:
+        if self._token:
+            raise ValueError("a transaction is under way")
 
     def _need(self) -> None:
-        if not self._xact:
+        if not self._token:
             raise TransactionError("no transaction is under way")
 
-    def write(self, rows: DataFrame, interval: str, ts: str, version: str = "_version") -> None:
-        """Rows of whole entities: key, version, other columns.  Rows of one entity in one call share a version."""
-        self._need()
+    def _add(self, op: str, rows: DataFrame, interval: str, ts: str | dt.datetime | Column, columns: list[str]) -> None:
         kind = dict(rows.dtypes)[self.key]
         if kind not in ("string", "bigint", "int"):
             raise EntityIdTypeError(f"entity ids can't be {kind}")
         rows = rows.withColumn(self.key, F.col(self.key).cast("bigint")) if kind == "int" else rows
-        self._pending.append(("write", rows.withColumnRenamed(version, "_version"), interval, ts))
+        rows = rows.withColumn("_version", F.col("_version").cast("bigint"))
+        at = ts if isinstance(ts, Column) else F.lit(ts)
+        self._pending.append((op, interval, columns, rows.withColumn("interval_start", intervals.start(interval, at.cast("timestamp")))))
 
-    def delete(self, ids: DataFrame, interval: str, ts: str, version: str = "_version") -> None:
+    def write(self, rows: DataFrame, interval: str, ts: str | dt.datetime | Column, version: str = "_version", empty: DataFrame | None = None) -> None:
+        """Rows of whole entities: key, version, other columns.  Rows of one entity and bucket in one call share a version.
+
+        ts: an instant, or a column of rows that says each row's.  empty: key and version of entities
+        that have no rows; they are stored as one row of nulls.
+        """
+        self._need()
+        rows = rows.withColumnRenamed(version, "_version")
+        columns = [c for c in rows.columns if c not in (*SLICE, *OWN)]
+        if empty is not None:
+            empty = empty.select(self.key, F.col(version).alias("_version"))
+            rows = rows.unionByName(empty.join(rows.select(self.key), self.key, "left_anti"), allowMissingColumns=True)
+        self._add("write", rows, interval, ts, columns)
+
+    def delete(self, ids: DataFrame, interval: str, ts: str | dt.datetime | Column, version: str = "_version") -> None:
+        """Deletes entities that are stored at these versions or lower; in a table that lacks them nothing happens."""
         self._need()
-        self._pending.append(("delete", ids.select(self.key, F.col(version).alias("_version")), interval, ts))
+        self._add("delete", ids.select(self.key, F.col(version).alias("_version"), *([] if not isinstance(ts, Column) else [ts.alias("_ts")])), interval, F.col("_ts") if isinstance(ts, Column) else ts, [])
+
+    def change(self, rows: DataFrame, interval: str, ts: str | dt.datetime | Column, op: str = "op", position: str = "position", version: str = "_version") -> None:
+        """Writes and deletes in the order of a column ``position``: rows of whole entities with op (write or delete), key, version, other columns.
+
+        Rows of one entity and bucket that share a position are one operation.
+        """
+        self._need()
+        rows = rows.withColumnsRenamed({version: "_version", op: "_op", position: "_at"})
+        self._add("change", rows, interval, ts, [c for c in rows.columns if c not in (*SLICE, *OWN, "_op", "_at")])
 
     def rollback(self) -> None:
         self._need()
-        self.manifests.delete(f"{self.path}/xact={self._xact}")
-        self._xact = None
+        token, self._token = self._token, None
+        self.manifests.delete(f"{self.path}/xact={token.target}")
 
     def commit(self) -> int:
         """Publishes all pending operations of all slices together; the new version number."""
         self._need()
         number, state = self._baseline
-        old = {tuple(s[c] for c in SLICE): s for s in state["slices"]}
+        before = state.get("record", {})
         try:
-            new = dict(old)
-            for interval, ts in dict.fromkeys((p[2], p[3]) for p in self._pending):
-                new |= self._stage([p for p in self._pending if p[2:] == (interval, ts)], interval, ts, old)
-            for k in self._dropped:
-                new.pop(k, None)
-            self.manifests.publish(number + 1, {"slices": [s for s in new.values() if s["xact"]], "properties": {"key": self.key}})
+            check(self._token, before)
+            old = {tuple(s[c] for c in SLICE): s for s in state["slices"]}
+            kinds = {dict(p[3].dtypes)[self.key] for p in self._pending if p[0] != "delete" or old}
+            if kinds:
+                kinds |= {state["properties"].get("key_type", next(iter(kinds)))}
+            if len(kinds) > 1:
+                raise EntityIdTypeError("entity ids of a table are all strings or all integers")
+            if "key" in state["properties"] and state["properties"]["key"] != self.key:
+                raise EntityIdTypeError(f"entity ids of this table are in {state['properties']['key']}")
+            new = old | self._stage(old) if self._pending else old
+            self._log()
+            kept = [s for s in new.values() if s["xact"]]
+            typed = {"key_type": kinds.pop()} if kinds and kept else {}
+            self.manifests.publish(number + 1, {"slices": kept, "properties": state["properties"] | {"key": self.key} | typed, "record": record(self._token, before)})
         except Exception:
             self.rollback()
             raise
-        self._xact = None
+        self._token = None
+        if self.retain:
+            self.vacuum(self.retain)
         return number + 1
 
-    def _stage(self, pending: list, interval: str, ts: str, old: dict) -> dict:
-        start = self.spark.range(1).select(intervals.start(interval, F.lit(ts).cast("timestamp"))).first()[0]
-        here = [s for k, s in old.items() if k[:2] == (interval, start)]
+    def _operations(self) -> tuple[DataFrame, DataFrame | None]:
+        """One row an operation (entity, interval, bucket, version, pos, op, n), and the rows of writes with their pos; pos is the order of operations."""
+        heads, rows = [], []
+        for i, (op, interval, _, df) in enumerate(self._pending):
+            at = F.col("_at").cast("bigint") if op == "change" else F.lit(0).cast("bigint")
+            kind = F.col("_op") if op == "change" else F.lit(op)
+            told = df.withColumns({"interval": F.lit(interval), "_pos": F.struct(F.lit(i).alias("call"), at.alias("at")), "_kind": kind, "_call": F.lit(i)}).drop("_op", "_at", "_ts")
+            heads.append(told.groupBy(F.col(self.key).alias("entity_id"), "interval", "interval_start", "_pos", "_kind").agg(F.max("_version").alias("version")).select("entity_id", "interval", "interval_start", "version", F.col("_pos").alias("pos"), F.col("_kind").alias("op")))
+            if op != "delete":
+                rows.append(told.where("_kind = 'write'").drop("_kind"))
+        return reduce(DataFrame.unionByName, heads), reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows) if rows else None
+
+    def _stage(self, old: dict) -> dict:
+        """Writes the new slices of the shards that operations touch; slices by (interval, start, shard), those left empty without a transaction."""
+        by = ["entity_id", "interval", "interval_start"]
+        ops, rows = self._operations()
+        of = self.strategy(F.col("entity_id")).alias("shard")
+        touched: dict[tuple, set[str]] = {}
+        for r in ops.select("interval", "interval_start", of, "op", "pos.call").distinct().collect():  # two a slice and call at most
+            touched.setdefault((r[0], r[1], r[2]), set()).update(self._pending[r.call][2] if r.op == "write" else ())
+        here = [old[k] for k in touched if k in old]
+        if not here and rows is None:
+            return {}
         stored = self._read(here) if here else None
-        if stored is not None and dict(stored.dtypes)[self.key] == "string" and any(dict(p[1].dtypes)[self.key] != "string" for p in pending):
-            raise EntityIdTypeError("ids of the stored slice are strings")
-        ops, rows = None, None
-        for i, (op, df, _, _) in enumerate(pending):
-            head = df.groupBy(self.key).agg(F.max("_version").alias("version")).select(F.col(self.key).alias("entity_id"), "version", F.lit(i).alias("pos"), F.lit(op).alias("op"))
-            ops = head if ops is None else ops.unionByName(head)
-            if op == "write":
-                r = df.withColumn("_pos", F.lit(i))
-                rows = r if rows is None else rows.unionByName(r, allowMissingColumns=True)
-        known = stored.groupBy(F.col(self.key).alias("entity_id")).agg(F.max("_version").alias("version")) if stored is not None else None
-        left = fold.live(ops, known)
+        known = stored.groupBy(F.col(self.key).alias("entity_id"), "interval", "interval_start").agg(F.max("_version").alias("version")) if here else None
+        left = fold.live(ops, known, by)
         parts = []
         if rows is not None:
-            won = left.where("pos >= 0").select(F.col("entity_id").alias(self.key), F.col("pos").alias("_pos"), F.col("version").alias("_version"))
-            parts.append(rows.join(won, [self.key, "_pos", "_version"]).drop("_pos").withColumn("_instance_id", F.lit(self._xact)))
-        if stored is not None:
-            parts.append(stored.drop(*SLICE).join(left.where("pos < 0").select(F.col("entity_id").alias(self.key)), self.key, "left_semi"))
+            if here:
+                self._whole(left, known, old, touched)
+            won = left.where("pos is not null").select(F.col("entity_id").alias(self.key), "interval", "interval_start", F.col("pos").alias("_pos"), F.col("version").alias("_version"))
+            parts.append(rows.join(won, [self.key, "interval", "interval_start", "_pos", "_version"]).drop("_pos", "_call").withColumn("_instance_id", F.lit(self._token.target)))
+        if here:
+            parts.append(stored.drop("shard").join(left.where("pos is null").select(F.col("entity_id").alias(self.key), "interval", "interval_start"), [self.key, "interval", "interval_start"], "left_semi"))
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-        out = out.withColumns({"xact": F.lit(self._xact), "interval": F.lit(interval), "interval_start": F.lit(start), "shard": self.strategy(F.col(self.key))})
-        self._write(out)
-        made = {(interval, start, s): {"xact": self._xact, "interval": interval, "interval_start": start, "shard": s} for s in self._written(interval, start)}
-        return {(interval, start, s["shard"]): s | {"xact": None} for s in here} | made
-
-    def _write(self, out: DataFrame) -> None:
-        out.repartition("interval_start", "shard").write.mode("append").option("compression", self.compression).partitionBy(*PLACES).parquet(self.path)
-
-    def _written(self, interval: str, start: str) -> list[int]:
-        p = f"{self.path}/xact={self._xact}/interval={interval}/interval_start={start.replace(':', '%3A')}"
-        return [int(x.removeprefix("shard=")) for x in self.manifests.children(p) if x.startswith("shard=")]
+        types = {n: t for n, t in out.dtypes if n not in SLICE}
+        for s in here:
+            for n, t in s["columns"].items():
+                if types.get(n, t) != t:
+                    raise TypeError(f"column {n} is {t}, not {types[n]}")
+        self._write(out.withColumns({"xact": F.lit(self._token.target), "shard": self.strategy(F.col(self.key))}), self._token.target)
+        made = {}
+        for k, columns in touched.items():
+            have = self.manifests.children(self._dir(dict(zip(SLICE, k, strict=True)) | {"xact": self._token.target}))
+            names = columns | set(old[k]["columns"] if k in old else ()) | {self.key, *OWN}
+            if have or k in old:
+                made[k] = dict(zip(SLICE, k, strict=True)) | {"xact": self._token.target if have else None, "columns": {n: types.get(n) or old[k]["columns"][n] for n in sorted(names)}}
+        return made
+
+    def _whole(self, left: DataFrame, known: DataFrame, old: dict, touched: dict) -> None:
+        """An entity that is stored already must be written with all columns of its shard: else they would be at different versions."""
+        lacking = []
+        for i, (op, interval, columns, _) in enumerate(self._pending):
+            for k in touched:
+                if op != "delete" and k in old and k[0] == interval and set(old[k]["columns"]) - {*columns, *OWN, self.key}:
+                    lacking.append((i, *k))
+        if not lacking:
+            return
+        short = self.spark.createDataFrame(lacking, "call int, interval string, interval_start string, shard int")
+        again = left.where("pos is not null").join(known.drop("version"), ["entity_id", "interval", "interval_start"], "left_semi").withColumns({"call": F.col("pos.call"), "shard": self.strategy(F.col("entity_id"))})
+        wrong = again.join(F.broadcast(short), ["call", "interval", "interval_start", "shard"], "left_semi").select("entity_id", "interval", "interval_start", "shard", "version")
+        if wrong.take(1):
+            where = f"{self.path}/_errors/{self._token.target}"
+            wrong.write.parquet(where)
+            raise ConsistencyError(f"stored entities are written without columns that their shards have; see {where}")
+
+    def errors(self) -> list[str]:
+        """Places of the reports that failed commits have left."""
+        return [f"{self.path}/_errors/{x}" for x in self.manifests.children(f"{self.path}/_errors")]
+
+    def _write(self, out: DataFrame, xact: str) -> None:
+        """Rows of a slice are split over tasks if they are many."""
+        out.hint("rebalance", *map(F.col, SLICE)).write.mode("append").option("compression", self.compression).partitionBy(*PLACES).parquet(self.path)
+
+    # -- requests -------------------------------------------------------------------------------
+
+    def _log(self) -> None:
+        if self.capture is None or self.capture is False:
+            return
+        for op, interval, _, df in self._pending:
+            rows = df if self.capture is True else df.where(self.capture)
+            capture(rows.withColumn("interval", F.lit(interval)), f"{self.base}/{self.tenant}/_capture/{self.name}", op)
+
+    def captured(self) -> DataFrame:
+        """The log of requests: _kind, _day and request (JSON)."""
+        return self.spark.read.text(f"{self.base}/{self.tenant}/_capture/{self.name}").select("_kind", "_day", F.col("value").alias("request"))
+
+    def clean_capture(self, before: dt.date) -> list[str]:
+        """Deletes the log's days before a date."""
+        root, gone = f"{self.base}/{self.tenant}/_capture/{self.name}", []
+        for kind in self.manifests.children(root):
+            days = [d for d in self.manifests.children(f"{root}/{kind}") if d.startswith("_day=") and d.removeprefix("_day=") < before.isoformat()]
+            gone += [f"{root}/{kind}/{d}" for d in days]
+        for d in gone:
+            self.manifests.delete(d)
+        return gone
 
     # -- slices ---------------------------------------------------------------------------------
 
-    def _copy(self, source: list[dict], interval: str, start: str) -> int:
-        """Copies slices to another bucket; shards that are there already stay as they are."""
-        number, state = self.manifests.latest()
-        have = {s["shard"] for s in state["slices"] if (s["interval"], s["interval_start"]) == (interval, start)}
-        source = [s for s in source if s["shard"] not in have]
-        if not source:
-            return number
-        self._xact = uuid.uuid4().hex
-        try:
-            self._write(self._read(source).withColumns({"xact": F.lit(self._xact), "interval": F.lit(interval), "interval_start": F.lit(start)}))
-            made = [{"xact": self._xact, "interval": interval, "interval_start": start, "shard": s["shard"]} for s in source]
-            self.manifests.publish(number + 1, state | {"slices": state["slices"] + made})
-        except Exception:
-            self.rollback()
-            raise
-        self._xact = None
+    def _publish(self, number: int, state: dict, slices: list[dict], token: Token | None = None) -> int:
+        before = state.get("record", {})
+        self.manifests.publish(number + 1, state | {"slices": slices, "record": record(token or new_token(before, auto=True), before)})
         return number + 1
 
-    def snapshot(self, interval: str, ts: str) -> int:
+    def _copy(self, source: list[dict], interval: str, start: str, shard: int | None = None) -> int:
+        """Names the files of slices in another bucket too; shards that are there already stay as they are."""
+        self._idle()
+        number, state = self.manifests.latest()
+        have = {s["shard"] for s in state["slices"] if (s["interval"], s["interval_start"]) == (interval, start)}
+        made = []
+        for s in source:
+            at = s["shard"] if shard is None else shard
+            if at not in have:
+                made.append(s | {"interval": interval, "interval_start": start, "shard": at, "source": s.get("source") or {c: s[c] for c in PLACES}})
+        return self._publish(number, state, state["slices"] + made) if made else number
+
+    def snapshot(self, interval: str, ts: str | dt.datetime) -> int:
         """Copies the single interval to a bucket."""
-        start = self.spark.range(1).select(intervals.start(interval, F.lit(ts).cast("timestamp"))).first()[0]
-        return self._copy(self.slices(Predicate("=", (intervals.SINGLE,))), interval, start)
+        return self._copy(self.slices(Predicate("=", (intervals.SINGLE,))), interval, self._bucket(interval, ts))
 
-    def copy_previous(self, interval: str, ts: str) -> int:
+    def copy_previous(self, interval: str, ts: str | dt.datetime) -> int:
         """Copies the bucket before to the bucket of ts."""
-        at = F.lit(ts).cast("timestamp")
-        before, start = self.spark.range(1).select(intervals.start(interval, at, -1), intervals.start(interval, at)).first()
-        return self._copy(self.slices(Predicate("=", (interval,)), Predicate("=", (before,))), interval, start)
+        before = self._bucket(interval, ts, -1)
+        return self._copy([s for s in self.slices(Predicate("=", (interval,))) if s["interval_start"] == before], interval, self._bucket(interval, ts))
+
+    def copy_shard(self, to: ShardId, source: ShardId) -> int:
+        """Copies one slice to another; to itself, from none, or over one that is there, nothing happens."""
+        chosen = [s for s in self.slices() if (s["interval"], s["interval_start"], s["shard"]) == (source.interval, source.start, source.shard)]
+        return self._copy(chosen, to.interval, to.start, to.shard)
 
     def drop(self, interval: str | None = None, start: str | None = None) -> int:
         """Removes slices of an interval, of one bucket of it, or all."""
+        self._idle()
         number, state = self.manifests.latest()
         keep = [s for s in state["slices"] if not ((interval is None or s["interval"] == interval) and (start is None or s["interval_start"] == start))]
-        self.manifests.publish(number + 1, state | {"slices": keep})
-        return number + 1
+        return self._publish(number, state, keep)
+
+    def fragmentation(self, interval: str, start: str) -> dict[int, int]:
+        """Of each shard of a bucket: the share of its files, in whole per cent, that a rewrite would save."""
+        out = {}
+        for s in self.slices(Predicate("=", (interval,))):
+            if s["interval_start"] == start:
+                sizes = self.manifests.sizes(self._dir(s))
+                out[s["shard"]] = 100 * (len(sizes) - max(1, -(-sum(sizes) // FILE_BYTES))) // max(1, len(sizes))
+        return out
 
-    def compact(self, interval: str, start: str) -> int:
-        """Rewrites a bucket's slices into one file each."""
+    def compact(self, interval: str, start: str, trigger: int = 0) -> int:
+        """Rewrites the slices of a bucket whose fragmentation is ``trigger`` per cent or more into few files each."""
+        self._idle()
         number, state = self.manifests.latest()
-        here = [s for s in state["slices"] if (s["interval"], s["interval_start"]) == (interval, start)]
+        worn = {shard for shard, f in self.fragmentation(interval, start).items() if f >= trigger}
+        here = [s for s in state["slices"] if (s["interval"], s["interval_start"]) == (interval, start) and s["shard"] in worn]
         if not here:
             return number
-        self._xact = uuid.uuid4().hex
-        self._write(self._read(here).withColumn("xact", F.lit(self._xact)))
-        made = [s | {"xact": self._xact} for s in here]
-        self.manifests.publish(number + 1, state | {"slices": [s for s in state["slices"] if s not in here] + made})
-        self._xact = None
-        return number + 1
+        token = new_token(state.get("record", {}), auto=True)
+        try:
+            self._write(self._read(here).withColumn("xact", F.lit(token.target)), token.target)
+            made = [{c: s[c] for c in (*SLICE, "columns")} | {"xact": token.target} for s in here]
+            return self._publish(number, state, [s for s in state["slices"] if s not in here] + made, token)
+        except Exception:
+            self.manifests.delete(f"{self.path}/xact={token.target}")
+            raise
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Deletes manifests but the last ``keep`` and the directories that none of these names."""
         numbers = self.manifests.numbers()
-        used = {s["xact"] for n in numbers[-keep:] for s in self.manifests.read(n)["slices"]}
+        used = {(s.get("source") or s)["xact"] for n in numbers[-keep:] for s in self.manifests.read(n)["slices"]} | ({self._token.target} if self._token else set())
         for n in numbers[:-keep]:
             self.manifests.delete(f"{self.manifests.path}/{n:010d}.json")
         gone = [d for d in self.manifests.children(self.path) if d.startswith("xact=") and d.removeprefix("xact=") not in used]
@@ -230,11 +498,5 @@ class EntityTable:
 
 
 def capture(rows: DataFrame, path: str, kind: str) -> None:
-    """Appends a request's rows to a JSON log by day."""
-    rows.withColumns({"_kind": F.lit(kind), "_day": F.current_date()}).write.mode("append").partitionBy("_day").json(path)
-
-
-def latest_rows(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """The rows of each entity's greatest version."""
-    top = F.max(version).over(Window.partitionBy(key))
-    return rows.withColumn("_top", top).where(F.col(version) == F.col("_top")).drop("_top")
+    """Appends a request's rows to a JSON log by kind and day."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), F.lit(kind).alias("_kind"), F.current_date().alias("_day")).write.mode("append").partitionBy("_kind", "_day").text(path)

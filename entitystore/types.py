@@ -41,3 +41,10 @@ def infer(value: object) -> str:
         if isinstance(value, kind):
             return "I" if code == "L" and -(2**31) <= value < 2**31 else code
     raise TypeError(f"no type code for {type(value).__name__}")
+
+
+def code_of(kind: str) -> str:
+    """The type code of a Spark type's name; types without one of their own are texts."""
+    if kind.startswith("timestamp") or kind == "date":
+        return "DT"
+    return {t: c for c, t in CODES.items() if c != "DT"}.get(kind, "S")

@@ -27,4 +27,5 @@ def test_entry(spark):
 
 def test_scan_prunes(spark):
     plan = queries.QUERIES["entity_lookup_many"](spark, DATA)._jdf.queryExecution().toString()
-    assert "In(l_orderkey" in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey" in plan
+    assert "In(entity_id" in plan and "ReadSchema: struct<entity_id:bigint,l_partkey" in plan
+    assert len(queries.fixtures.lineitem(spark, DATA).entities([1, 12, 123, 1234]).inputFiles()) < len(queries.fixtures.lineitem(spark, DATA).scan().inputFiles())
