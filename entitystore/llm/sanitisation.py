@@ -9,10 +9,11 @@ Evidence counts different surroundings (the words before and after), at most one
 and near copies of a text count once.  Occurrences of disclosing terms become spans of kind "term";
 ``sanitise`` puts a general name in the place of every span, and removes terms.
 
-Terms that are new in every text (keys, passwords) have no evidence of their own.  They are weighed as a
-class: which kinds of characters a term has, and its length by powers of two.  The entity is then the
-credential that names like "token" announce, at most two terms before; n counts different terms of the
-class, so copies count once, and the same thresholds hold.  All terms of a disclosing class become spans.
+Terms that are new in every text (keys, passwords) have no evidence of their own.  Those with a digit are
+weighed as a class: which kinds of characters a term has, and its length by powers of two.  The entity is
+then the credential that names like "token" announce, at most two terms before.  n(t) and n(t, e)
+count different terms of the class, so copies count once, n(e) / N is the share of all words that such names
+are, and the same thresholds hold.  All terms of a disclosing class become spans.
 
 Only counts by term, by class and by (term, entity) are shuffled; n(t) is counted over the whole corpus for terms
 that pass the support.  Texts are shuffled only if more of them hold entities than may be broadcast, and
@@ -45,9 +46,12 @@ LEAST = {"card": r"[0-9](?:[\x20-]?[0-9]){13}"}
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = ".,;:!?\"'()[]{}<>|#*$%&/=_~`^+-"
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
-#: What counts as a term where classes are weighed, and names that announce a credential.
-PIECE = r"[\p{L}\p{N}_+/.-]+"
+#: Names that announce a credential, a term with a digit, and one that stands right after such a name or with a word between.
 CREDENTIALS = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "api-key", "access_key", "secret_key", "private_key", "auth", "authorization", "bearer", "credential", "credentials", "passphrase")
+_IN = r"\p{L}\p{N}_+/.\-"
+TERM = rf"(?<![{_IN}])[{_IN}&&[^0-9]]*+[0-9][{_IN}]*+"
+NAME = rf"(?i)(?<![{_IN}])(?:{'|'.join(CREDENTIALS)})(?![{_IN}])"
+AFTER_NAME = rf"{NAME}[^{_IN}]{{1,8}}+(?:[{_IN}&&[^0-9]]{{1,20}}+[^{_IN}]{{1,8}}+)?+({TERM})"
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -178,21 +182,26 @@ def disclosing_classes(docs: DataFrame, support: int = SUPPORT, share: float = S
     Counts of different terms are estimates with a bounded sketch a class, exact but for rounding where they are small.
     """
     text = docs.select(common.text().alias("text")).select(common.once(_blanked("text")).alias("text"))
-    pieces = text.select(common.once(F.regexp_extract_all("text", F.lit(PIECE), 0)).alias("p")).where(F.size("p") > 0)
-    one = F.array(F.lit(""))
-    each = pieces.select(F.explode(F.arrays_zip("p", F.concat(one, "p").alias("b"), F.concat(one, one, "p").alias("c"))).alias("x")).where("x.p is not null").select(F.col("x.p").alias("term"), (F.lower("x.b").isin(*CREDENTIALS) | F.lower("x.c").isin(*CREDENTIALS)).alias("near"))
-    counted = each.groupBy(_class(F.col("term")).alias("class")).agg(F.approx_count_distinct("term", 0.02).alias("of_class"), F.approx_count_distinct(F.when(F.col("near"), F.col("term")), 0.02).alias("both"))
+    told = text.select(F.regexp_extract_all("text", F.lit(TERM), 0).alias("all"), F.regexp_extract_all("text", F.lit(AFTER_NAME), 1).alias("after"), F.regexp_count("text", F.lit(WORD)).alias("words"), F.regexp_count("text", F.lit(NAME)).alias("names"))
+    # A text's row of counts, and a row for each of its terms.
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(False).alias("near"), F.col("words").cast("long").alias("words"), F.col("names").cast("long").alias("names"))
+
+    def rows(array: str, near: bool) -> Column:
+        return F.transform(array, lambda t: F.struct(t.alias("term"), F.lit(near).alias("near"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("names")))
+
+    each = told.select(F.explode(F.concat(F.array(none), rows("all", False), rows("after", True))).alias("x")).select("x.*")
+    counted = each.groupBy(_class(F.col("term")).alias("class")).agg(F.approx_count_distinct("term", 0.02).alias("of_class"), F.approx_count_distinct(F.when(F.col("near"), F.col("term")), 0.02).alias("both"), F.sum("words").alias("words"), F.sum("names").alias("names"))
     total = Window.partitionBy()  # a row a class
-    weighed = counted.withColumn("bits", F.log2(F.col("both") * F.sum("of_class").over(total) / (F.col("of_class") * F.greatest(F.sum("both").over(total), F.lit(1)))))
-    return weighed.where((F.col("both") >= support) & (F.col("both") >= share * F.col("of_class")) & (F.col("bits") >= bits))
+    weighed = counted.withColumn("bits", F.log2(F.col("both") / F.col("of_class") * F.sum("words").over(total) / F.greatest(F.sum("names").over(total), F.lit(1)))).where("class is not null")
+    return weighed.where((F.col("both") >= support) & (F.col("both") >= share * F.col("of_class")) & (F.col("bits") >= bits)).select("class", "of_class", "both", "bits")
 
 
 def _of_classes(docs: DataFrame, classes: list[str]) -> DataFrame:
     """k, h, value, start, end of the terms of some classes; only texts that hold one are read term by term."""
     rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.withColumn("text", common.once(_blanked("text"))).withColumn("_r", F.monotonically_increasing_id())
-    held = rows.where(F.exists(common.once(F.regexp_extract_all("text", F.lit(PIECE), 0)), lambda x: _class(x).isin(*classes)))
-    return _located(held, "text", PIECE).drop("_r").where(_class(F.col("value")).isin(*classes)).distinct()
+    held = rows.where(F.exists(F.regexp_extract_all("text", F.lit(TERM), 0), lambda x: _class(x).isin(*classes)))
+    return _located(held, "text", TERM).drop("_r").where(_class(F.col("value")).isin(*classes)).distinct()
 
 
 def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
