@@ -12,8 +12,8 @@ and near copies of a text count once.  Occurrences of disclosing terms become sp
 Terms that are new in every text (keys, passwords) have no evidence of their own.  Those with a digit are
 weighed as a class: which kinds of characters a term has, and its length by powers of two.  The entity is
 then the credential that names like "token" announce, at most two terms before.  n(t) and n(t, e)
-count different terms of the class, so copies count once, n(e) / N is the share of all words that such names
-are, and the same thresholds hold.  All terms of a disclosing class become spans.
+count different terms of the class, so copies count once, n(e) / N is the share of all words that are terms so
+announced, and the same thresholds hold.  All terms of a disclosing class become spans.
 
 Only counts by term, by class and by (term, entity) are shuffled; n(t) is counted over the whole corpus for terms
 that pass the support.  Texts are shuffled only if more of them hold entities than may be broadcast, and
@@ -182,9 +182,9 @@ def disclosing_classes(docs: DataFrame, support: int = SUPPORT, share: float = S
     Counts of different terms are estimates with a bounded sketch a class, exact but for rounding where they are small.
     """
     text = docs.select(common.text().alias("text")).select(common.once(_blanked("text")).alias("text"))
-    told = text.select(F.regexp_extract_all("text", F.lit(TERM), 0).alias("all"), F.regexp_extract_all("text", F.lit(AFTER_NAME), 1).alias("after"), F.regexp_count("text", F.lit(WORD)).alias("words"), F.regexp_count("text", F.lit(NAME)).alias("names"))
+    told = text.select(F.regexp_extract_all("text", F.lit(TERM), 0).alias("all"), F.regexp_extract_all("text", F.lit(AFTER_NAME), 1).alias("after"), F.regexp_count("text", F.lit(WORD)).alias("words"))
     # A text's row of counts, and a row for each of its terms.
-    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(False).alias("near"), F.col("words").cast("long").alias("words"), F.col("names").cast("long").alias("names"))
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(False).alias("near"), F.col("words").cast("long").alias("words"), F.size("after").cast("long").alias("names"))
 
     def rows(array: str, near: bool) -> Column:
         return F.transform(array, lambda t: F.struct(t.alias("term"), F.lit(near).alias("near"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("names")))
