@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NULL_ID = -(2**63)
 #: Rows that may be broadcast at once.
@@ -44,19 +46,19 @@ def text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return d.rstrip("/")
+#: Folders of this process's intermediate tables that are not deleted yet.
+_FOLDERS: list[str] = []
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and outlive lost executors."""
+    """Tables written to the shared folder, which cut lineage and outlive lost executors.
+
+    Results are lazy, so an operator can't delete the tables that its result reads: see ``temporary``.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        _FOLDERS.append(self.base)
 
     def save(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.n += 1
@@ -65,10 +67,25 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        with contextlib.suppress(Exception):  # a leftover table costs space, not results
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    with contextlib.suppress(Exception):  # a leftover table costs space, not results
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Deletes, at the end, the intermediate tables of operators called inside; their results must be written or used up by then."""
+    n = len(_FOLDERS)
+    try:
+        yield
+    finally:
+        for base in _FOLDERS[n:]:
+            _delete(spark, base)
+        del _FOLDERS[n:]
 
 
 # -- vectorised words ---------------------------------------------------------------------------
