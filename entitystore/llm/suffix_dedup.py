@@ -11,9 +11,9 @@ property that a difference cover gives for ties, with a thirtieth of the places
    a pack of texts are known to be tied there, and send one row to the exchange, with their number, not one each.
 2. The context of each tied sample (the bytes that its suffixes span) goes to the bucket of its
    rank.  A task takes its buckets in order, a bounded number of contexts at a time, sorts the
-   suffixes of each by distance and content, and marks all but the first of equal ones.  A rank of
+   suffixes of each by their bytes, and marks all but the first of equal ones.  A rank of
    over ``hot`` samples is salted: its contexts go to as many buckets as it fills slabs, and the first
-   of each string in a slab are dealt out anew by hashes of their strings.
+   of each string in a slab are dealt out anew by 128 bits of hashes of their strings.
 3. Marked runs of starts, widened to the bytes they cover, meet their texts, and bytes are removed.
 
 Texts are dealt out once, by their hash; the plan reuses that exchange for all three steps.  Copies of
@@ -190,21 +190,38 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class Bucket:
-    """The starts of some contexts, those of the earliest text first: row of the context, start, and a hash of rank, distance and string."""
+    """The starts of some contexts, those of the earliest text first: document, start, and the strings."""
 
     def __init__(self, t: pa.Table, length: int):
-        rank, k, h, far, p, n = (t.column(c).to_numpy() for c in ("rank", "k", "h", "far", "p", "n"))
+        k, h, p, n = (t.column(c).to_numpy() for c in ("k", "h", "p", "n"))
         c = t.column("c").combine_chunks()
         c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
         at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
-        code = _grams(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]], length)
         order = np.lexsort((p, h, k))
         n = n[order]
         row = np.repeat(order, n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         self.k, self.h, self.start = k[row], h[row], p[row] + step
-        # rank + distance * a constant, so that a context's starts differ by multiples of that constant
-        self.key = common.mix64(code[(at - at[0])[row] + step] + (common.mix64(rank.view(np.uint64)) + far.astype(np.uint64) * _C)[row] - step.astype(np.uint64) * _C)
+        self.length = length
+        every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]], length)
+        self.strings = every[(at - at[0])[row] + step]
+
+    def sort(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order of starts by the bytes of their strings, of equal ones the earliest first; and of each, in that order, the first equal one."""
+        s = self.strings.view(f"S{self.length}").ravel()
+        by = np.argsort(s, kind="stable")
+        s = s[by]
+        first = np.ones(len(by), bool)
+        first[1:] = s[1:] != s[:-1]
+        return by, by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+
+    def hashes(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the strings of some starts."""
+        words = np.zeros((len(i), -(-self.length // 8) * 8), np.uint8)
+        words[:, : self.length] = self.strings[i]
+        words = words.view("<u8")
+        factors = common.places(2 * words.shape[1])
+        return tuple(common.mix64((common.mix64(words + x) * f).sum(1, dtype=np.uint64)).view(np.int64) for x, f in ((_C, factors[: words.shape[1]]), (np.uint64(0), factors[words.shape[1] :])))
 
 
 def _ranges(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
@@ -215,14 +232,14 @@ def _ranges(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
     new[1:-1] = (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (p[1:] > p[:-1] + 1)
     edge = np.flatnonzero(new)
     a, last = edge[:-1], edge[1:] - 1
-    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(k[a], pa.int64()), pa.array(h[a], pa.int64()), pa.array(p[a], pa.int32()), pa.array(p[last] + 1, pa.int32())], names=["s", "k", "h", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(k[a], pa.int64()), pa.array(h[a], pa.int64()), pa.array(p[a], pa.int32()), pa.array(p[last] + 1, pa.int32())], names=["s", "t", "k", "h", "a", "b"])
 
 
-FOUND = "s long, k long, h long, a int, b int"
+FOUND = "s long, t long, k long, h long, a int, b int"
 
 
 def _buckets(contexts: DataFrame, many: DataFrame, length: int, hot: int, slab: int) -> DataFrame:
-    """Runs of starts whose strings also start earlier; of hot buckets, also the first start of each string in a slab, with the hash s of the string.
+    """Runs of starts whose strings also start earlier; of hot buckets, also the first start of each string in a slab, with two hashes s and t of the string.
 
     many: ranks to salt, and their numbers of samples.  A hot bucket that is not among them is streamed in slabs.
     """
@@ -230,17 +247,14 @@ def _buckets(contexts: DataFrame, many: DataFrame, length: int, hot: int, slab:
     def judge(t: pa.Table, loose: bool = False):
         """Runs of later starts among some contexts; if loose, also the first start of each string, as other contexts may have it earlier."""
         x = Bucket(t, length)
-        by = np.argsort(x.key, kind="stable")  # equal strings side by side, the earliest first
-        first = np.ones(len(by), bool)
-        first[1:] = x.key[by[1:]] != x.key[by[:-1]]
-        lead = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+        by, lead = x.sort()
         later = (x.k[by] != x.k[lead]) | (x.h[by] != x.h[lead]) | (x.start[by] != x.start[lead])  # a repeated row is not earlier than itself
         hit = by[later]
         yield _ranges(x.k[hit], x.h[hit], x.start[hit])
         if loose:
-            f = by[first]
+            f = by[lead == by]
             at = x.start[f].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x.key[f].view(np.int64)), pa.array(x.k[f]), pa.array(x.h[f]), pa.array(at), pa.array(at + 1)], names=["s", "k", "h", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.hashes(f)), pa.array(x.k[f]), pa.array(x.h[f]), pa.array(at), pa.array(at + 1)], names=["s", "t", "k", "h", "a", "b"])
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
@@ -250,7 +264,7 @@ def _buckets(contexts: DataFrame, many: DataFrame, length: int, hot: int, slab:
             known = pc.is_null(b.column("c"))
             settled, b = b.filter(known), b.filter(pc.invert(known))
             if settled.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(settled.num_rows, pa.int64()), settled.column("k"), settled.column("h"), settled.column("p"), pc.add(settled.column("p"), settled.column("n"))], names=["s", "k", "h", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(settled.num_rows, pa.int64()), pa.nulls(settled.num_rows, pa.int64()), settled.column("k"), settled.column("h"), settled.column("p"), pc.add(settled.column("p"), settled.column("n"))], names=["s", "t", "k", "h", "a", "b"])
             dealt = pc.is_valid(b.column("salt"))
             more, b = b.filter(dealt), b.filter(pc.invert(dealt))
             if more.num_rows:
@@ -306,8 +320,8 @@ def _later(found: DataFrame) -> DataFrame:
 
     dealt = found.repartition("h")  # one exchange for both; Python keeps filters above it
     plain, strings = dealt.mapInArrow(only(True), FOUND), dealt.mapInArrow(only(False), FOUND)
-    first = strings.groupBy("s").agg(F.min(F.struct("k", "h", "a")).alias("e"), F.count("*").alias("times")).where("times > 1").select(F.col("s").alias("t"), "e")
-    more = strings.join(first, F.col("s") == F.col("t")).where(F.struct("k", "h", "a") > F.col("e"))
+    first = strings.groupBy("s", "t").agg(F.min(F.struct("k", "h", "a")).alias("e"), F.count("*").alias("times")).where("times > 1").select("s", "t", "e")
+    more = strings.join(first, ["s", "t"]).where(F.struct("k", "h", "a") > F.col("e"))
     return plain.select("k", "h", "a", "b").unionByName(more.select("k", "h", "a", "b"))
 
 

@@ -135,6 +135,29 @@ def test_suffix_dedup(spark, hot, slab, named, length, gram):
     assert suffix_dedup.suffix_dedup(nothing(spark)).count() == 0
 
 
+def test_suffix_dedup_with_one_key_for_half_of_the_rows(spark):
+    rng = np.random.default_rng(11)
+    shared = "".join(rng.choice(list("abcdefgh "), 150))
+    rows = [(i, "".join(rng.choice(list("abcdefgh "), 60)) + (shared if i % 2 else "") + "".join(rng.choice(list("xyz "), 40))) for i in range(120)]
+    want = covered(rows, 100)
+    got = suffix_dedup.suffix_dedup(docs(spark, rows), hot=8, slab=8, named=1).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == want
+
+
+def test_suffixes_of_a_bucket_are_sorted():
+    import pyarrow as pa
+
+    text = [b"abcdefgh\0", b"bcdefgh\0\0", b"ABCDEFGHI", b"abcdefgh\0", b"ABCDEFGHX"]
+    t = pa.table({"rank": [1] * 5, "k": range(5), "h": range(5), "far": pa.array([0] * 5, pa.int32()), "p": pa.array([0] * 5, pa.int32()), "n": pa.array([2] * 5, pa.int32()), "c": text})
+    x = suffix_dedup.Bucket(t, 8)
+    by, lead = x.sort()
+    strings = [x.strings[i].tobytes() for i in by]
+    assert strings == sorted(text[d][s : s + 8] for d in range(5) for s in range(2))
+    assert all(strings[n] == x.strings[j].tobytes() and j == min(i for i in range(10) if x.strings[i].tobytes() == strings[n]) for n, j in enumerate(lead))
+    a, b = x.hashes(np.arange(10))
+    assert len(set(a.tolist())) == len(set(b.tolist())) == len(set(strings)) == 6
+
+
 # -- SQL ----------------------------------------------------------------------------------------
 
 
