@@ -181,8 +181,10 @@ def disclosing_classes(docs: DataFrame, support: int = SUPPORT, share: float = S
 
     Counts of different terms are estimates with a bounded sketch a class, exact but for rounding where they are small.
     """
-    text = docs.select(common.text().alias("text")).select(common.once(_blanked("text")).alias("text"))
-    told = text.select(F.regexp_extract_all("text", F.lit(TERM), 0).alias("all"), F.regexp_extract_all("text", F.lit(AFTER_NAME), 1).alias("after"), F.regexp_count("text", F.lit(WORD)).alias("words"))
+    # Terms have a digit, so other texts are only counted.
+    text = docs.select(common.text().alias("text")).select("text", common.once(F.when(F.rlike("text", F.lit("[0-9]")), _blanked("text"))).alias("bare"))
+    empty = F.array().cast("array<string>")
+    told = text.select(F.coalesce(F.regexp_extract_all("bare", F.lit(TERM), 0), empty).alias("all"), F.coalesce(F.regexp_extract_all("bare", F.lit(AFTER_NAME), 1), empty).alias("after"), F.regexp_count("text", F.lit(WORD)).alias("words"))
     # A text's row of counts, and a row for each of its terms.
     none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(False).alias("near"), F.col("words").cast("long").alias("words"), F.size("after").cast("long").alias("names"))
 
@@ -199,7 +201,7 @@ def disclosing_classes(docs: DataFrame, support: int = SUPPORT, share: float = S
 def _of_classes(docs: DataFrame, classes: list[str]) -> DataFrame:
     """k, h, value, start, end of the terms of some classes; only texts that hold one are read term by term."""
     rows = docs.select(common.key().alias("k"), common.text().alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("text", common.once(_blanked("text"))).withColumn("_r", F.monotonically_increasing_id())
+    rows = rows.where(F.rlike("text", F.lit("[0-9]"))).withColumn("text", common.once(_blanked("text"))).withColumn("_r", F.monotonically_increasing_id())
     held = rows.where(F.exists(F.regexp_extract_all("text", F.lit(TERM), 0), lambda x: _class(x).isin(*classes)))
     return _located(held, "text", TERM).drop("_r").where(_class(F.col("value")).isin(*classes)).distinct()
 
