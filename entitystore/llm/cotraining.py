@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, rounds: in
     spark, scratch = docs.sparkSession, common.Scratch(docs.sparkSession)
     known = labels.select(common.key().alias("k"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("y")).where("y is not null").groupBy("k").agg(F.min("y").alias("y"))
     here = known.join(docs.select(common.key().alias("k")).distinct(), "k", "left_semi")
-    got = here.orderBy(F.xxhash64("k", F.lit(11)), "k").limit(max_labelled).collect()
+    got = sorted(here.orderBy(F.xxhash64("k", F.lit(11)), "k").limit(max_labelled).collect())
     few = len(got) < 30 or any(len({r.y for r in part}) < 2 for part in (got[2::3], [r for i, r in enumerate(got) if i % 3 != 2]))
     if len({r.y for r in got}) < 2:
         return None

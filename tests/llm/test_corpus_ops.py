@@ -212,6 +212,15 @@ def test_excise_and_proximity(spark):
     assert near == {(1, "p"), (3, "p")}
 
 
+def test_proximity_of_odd_rows(spark):
+    sets = spark.createDataFrame([("p", ["b", "a", "a"]), ("q", ["a"]), ("e", []), (None, ["a"]), ("n", ["a", "absent"])], "id string, w array<string>")
+    rows = [(1, "a x b"), (1, "a x b"), (1, "b a"), (None, "A, x x b"), (2, None), (3, ""), (4, "b x x x x a")]
+    got = Counter((r.doc_id, r.id, r.pos) for r in decontamination.proximity_matches(docs(spark, rows), sets, 2, block=2).collect())
+    # Lists of a and b are equally long, so ties go to the first word of the set.
+    assert got == Counter([(1, "p", 0), (1, "p", 1), (1, "q", 0), (1, "q", 1), (None, "q", 0), (4, "q", 5)])
+    assert decontamination.proximity_matches(nothing(spark), sets, 2).count() == 0 and decontamination.proximity_matches(docs(spark, rows), sets.limit(0), 2).count() == 0
+
+
 # -- lines --------------------------------------------------------------------------------------
 
 
