@@ -1,15 +1,18 @@
 """Quality rules judged by an isolation forest on their statistics.
 
-Rule statistics of every document are computed from arrays over many texts at once.  The forest
-is grown on the driver from a bounded sample of labelled rows: each tree draws clean rows, and
-splits at random between the bounds that all labelled rows span, so a document unlike the clean
-ones soon falls alone and its path is short.  The threshold on the mean path length is calibrated
-on labelled rows that grew no tree.  Scoring needs no shuffle: the forest, a few hundred KB
-whatever the input, goes to every task.
+Rule statistics of every document are computed from arrays over many texts at once, and stored.
+Every labelled row that passes the base rule makes the forest: the trees split at random between
+the bounds that all of them span, the clean ones are counted in every tree's cells, and where few
+lie the path is short, so a document unlike the clean ones soon falls alone.  The threshold on the
+mean path length is calibrated on all of them too, each clean row judged by trees that count all
+others but not itself.  Bounds, cells and scores are aggregated on the executors; the driver gets
+one number a cell and two a score, and scores are steps of 1/GRID, so both stay few whatever the
+input.  Scoring needs no shuffle: the forest, some 2 MB, goes to every task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +26,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_upper", "n_alpha", "n_digits", "n_marks")
 STATS = ", ".join(f"{c} long" for c in (*COUNTS, *EXTRA))
 WINDOW = 5
+FEATURES = 7
+#: Steps of mean path lengths in one, so that rows of equal score can be counted.
+GRID = 4096
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -110,81 +116,77 @@ def features(s: dict[str, np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees as arrays: the split's feature (-1: a leaf), its value, the left child (the right one follows), the path length of a leaf."""
+    """Full trees of one depth, nodes in heap order: each inner node's feature and split; each cell's path length."""
 
     feature: np.ndarray
     value: np.ndarray
-    left: np.ndarray
-    path: np.ndarray
-    depth: int
-    threshold: float = 0.0
+    path: np.ndarray | None = None
+    threshold: float = -np.inf
 
-    def paths(self, x: np.ndarray) -> np.ndarray:
-        """Mean path length of each row."""
-        total = np.zeros(len(x))
+    def cells(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Tree by tree, the cell of each row."""
         rows = np.arange(len(x))
-        for f, v, c, p in zip(self.feature, self.value, self.left, self.path, strict=True):
+        for f, v in zip(self.feature, self.value, strict=True):
             node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                inner = f[node] >= 0
-                if not inner.any():
-                    break
-                step = c[node] + (x[rows, np.maximum(f[node], 0)] > v[node])
-                node = np.where(inner, step, node)
-            total += p[node]
-        return total / max(1, len(self.feature))
+            while len(x) and node[0] < len(f):  # all rows are on one level
+                node = 2 * node + 1 + (x[rows, f[node]] > v[node])
+            yield node - len(f)
+
+    def paths(self, x: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:
+        """Mean path length of each row in steps of 1/GRID, by the trees' path lengths or given ones."""
+        total = np.zeros(len(x))
+        for cell, p in zip(self.cells(x), self.path if path is None else path, strict=True):
+            total += p[cell]
+        return np.round(total / len(self.feature) * GRID) / GRID
 
 
-def _expected(n: int) -> float:
+def _expected(n: np.ndarray) -> np.ndarray:
     """Mean path length of a failed search among n rows."""
-    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    m = np.maximum(2.0, n)
+    return np.where(n < 2, 0.0, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m)
 
 
-def grow(clean: np.ndarray, every: np.ndarray, trees: int = 100, draw: int = 256, seed: int = 7) -> Forest:
-    """Random trees over draws of the clean rows, split between the bounds of every labelled row."""
+def grow(low: np.ndarray, high: np.ndarray, trees: int = 100, depth: int = 10, seed: int = 7) -> Forest:
+    """Random trees that split between some bounds; rows are counted in their cells later."""
     rng = np.random.default_rng(seed)
-    low, high = every.min(0), every.max(0)
-    depth = int(np.ceil(np.log2(max(2, draw)))) + 2
-    out: list[tuple[list, list, list, list]] = []
-    for _ in range(trees):
-        rows = clean[rng.permutation(len(clean))[:draw]]
-        f, v, c, p = [-1], [0.0], [0], [0.0]
-        todo = [(0, rows, low.copy(), high.copy(), 0)]
-        while todo:
-            node, part, lo, hi, level = todo.pop()
-            wide = np.flatnonzero(hi > lo)
-            if level >= depth or len(part) <= 1 or not len(wide):
-                p[node] = level + _expected(len(part))
-                continue
-            k = int(rng.choice(wide))
-            cut = float(rng.uniform(lo[k], hi[k]))
-            f[node], v[node], c[node] = k, cut, len(f)
-            for side in (part[part[:, k] <= cut], part[part[:, k] > cut]):
-                f.append(-1)
-                v.append(0.0)
-                c.append(0)
-                p.append(0.0)
-            small, large = hi.copy(), lo.copy()
-            small[k] = large[k] = cut
-            todo.append((c[node], part[part[:, k] <= cut], lo, small, level + 1))
-            todo.append((c[node] + 1, part[part[:, k] > cut], large, hi, level + 1))
-        out.append((f, v, c, p))
-    n = max(len(t[0]) for t in out)
-
-    def pad(k: int, fill: float, kind: type) -> np.ndarray:
-        return np.array([t[k] + [fill] * (n - len(t[k])) for t in out], kind)
-
-    return Forest(pad(0, -1, np.int64), pad(1, 0, np.float64), pad(2, 0, np.int64), pad(3, 0, np.float64), depth)
-
-
-def calibrate(score: np.ndarray, good: np.ndarray, spare: float = 0.002) -> float:
-    """The path length below which documents go: the best balanced accuracy that rejects at most a share ``spare`` of good rows."""
-    if not len(score) or good.all() or not good.any():
+    lo, hi = (np.broadcast_to(b, (trees, 1, len(b))) for b in (low, high))
+    feature, value = [], []
+    for _ in range(depth):
+        wide = hi > lo
+        k = np.argmax(np.where(wide, rng.random(wide.shape), -1.0), axis=2)[..., None]
+        share = rng.random(k.shape)
+        a, b = np.take_along_axis(lo, k, 2), np.take_along_axis(hi, k, 2)
+        cut = np.where(b > a, a + (b - a) * share, np.inf)  # equal rows stay together
+        here = np.arange(len(low)) == k
+        halves = np.where(here, np.minimum(cut, hi), hi), np.where(here & (b > a), cut, lo)
+        lo, hi = (np.stack(pair, axis=2).reshape(trees, -1, len(low)) for pair in ((lo, halves[1]), (halves[0], hi)))
+        feature.append(k[..., 0])
+        value.append(cut[..., 0])
+    return Forest(np.concatenate(feature, axis=1).astype(np.int8), np.concatenate(value, axis=1))
+
+
+def lengths(counts: np.ndarray, less: int = 0) -> np.ndarray:
+    """Path length of every cell from the rows counted in it: to the first node of one row or none, or else to the cell, and on by the search among its rows.
+
+    less: as many rows are taken off every count, 1 for a row that is counted itself.
+    """
+    depth = counts.shape[1].bit_length() - 1
+    out = depth + _expected(counts - less)
+    for level in range(depth - 1, -1, -1):
+        counts = counts.reshape(len(counts), -1, 2).sum(2)
+        out = np.where(np.repeat(counts - less <= 1, 2 ** (depth - level), axis=1), float(level), out)
+    return out
+
+
+def calibrate(score: np.ndarray, good: np.ndarray, bad: np.ndarray, spare: float = 0.002) -> float:
+    """The path length below which documents go: the best balanced accuracy that rejects at most a share ``spare`` of good rows.
+
+    score: ascending, different; good, bad: rows of each.
+    """
+    if not good.sum() or not bad.sum():
         return -np.inf
-    cuts = np.unique(score)
-    cuts = np.concatenate([[-np.inf], (cuts[1:] + cuts[:-1]) / 2])
-    a, b = np.sort(score[good]), np.sort(score[~good])
-    lost, caught = np.searchsorted(a, cuts) / len(a), np.searchsorted(b, cuts) / len(b)
+    cuts = np.concatenate([[-np.inf], (score[1:] + score[:-1]) / 2])
+    lost, caught = (np.concatenate([[0], np.cumsum(n)[:-1]]) / n.sum() for n in (good, bad))
     return float(cuts[np.argmax(np.where(lost <= spare, caught - lost, -1.0))])
 
 
@@ -202,32 +204,65 @@ def _measured(rows: DataFrame, more: str = "") -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, {more + ', ' if more else ''}{STATS}")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Forest | None:
-    """A forest and its threshold from at most ``max_rows`` labelled rows, drawn by a hash of their ids.
+def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """good and the features of every labelled document that passes the base rule; documents repeated in id and text count once."""
+    known = labels.select(common.key().alias("doc_id"), (F.col("quality") == 1).alias("good")).where("good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
+    rows = common.meet(stats.withColumn("doc_id", common.key()).distinct(), known, "doc_id", "text_hash")
 
-    Half grow the trees, half calibrate.  None if no clean row is labelled.
-    """
-    drawn = (
-        labels.select(common.key().alias("doc_id"), (F.col("quality") == 1).alias("good")).where("good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-        .orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(max_rows)
-    )
-    rows = _measured(docs.select(common.key().alias("doc_id"), common.text().alias("text")).join(F.broadcast(drawn), "doc_id"), "good boolean")
-    got = rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *[c.split()[0] for c in STATS.split(", ")]).limit(2 * max_rows).toPandas()
-    s = {c: got[c].to_numpy(np.int64) for c in (*COUNTS, *EXTRA)}
-    use = ~base_failed(s)
-    x, good = features(s)[use], got["good"].to_numpy(bool)[use]
-    if not good.any():
+    def run(batches):
+        for b in batches:
+            s = {c: b.column(c).to_numpy() for c in (*COUNTS, *EXTRA)}
+            use = ~base_failed(s)
+            x = features(s)[use]
+            yield pa.RecordBatch.from_arrays([b.column("good").filter(pa.array(use)), *(pa.array(f) for f in x.T)], names=["good", *(f"x{k}" for k in range(FEATURES))])
+
+    return rows.mapInArrow(run, f"good boolean, {', '.join(f'x{k} double' for k in range(FEATURES))}")
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([b.column(f"x{k}").to_numpy() for k in range(FEATURES)], axis=1), b.column("good").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def fit(stats: DataFrame, labels: DataFrame, scratch: common.Scratch) -> Forest | None:
+    """A forest and its threshold from every labelled document.  None if no clean one passes the base rule."""
+    rows, path = scratch.save(_labelled(stats, labels))
+    at = [f"x{k}" for k in range(FEATURES)]
+    ends = rows.agg(F.max("good").alias("any"), *(F.min(c).alias(f"low_{c}") for c in at), *(F.max(c).alias(f"high_{c}") for c in at)).first()
+    if not ends["any"]:
         return None
-    half = np.arange(len(x)) % 2 == 0
-    if not (good & half).any():
-        half[:] = True
-    forest = grow(x[good & half], x)
-    rest = ~half if (~half).any() else half
-    forest.threshold = calibrate(forest.paths(x[rest]), good[rest])
+    forest = grow(*(np.array([ends[f"{side}_{c}"] for c in at]) for side in ("low", "high")))
+    trees, cells = len(forest.feature), forest.feature.shape[1] + 1
+    bare = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def count(batches):
+        for b in batches:
+            x, good = _arrays(b)
+            n = np.concatenate([np.bincount(c, minlength=cells) for c in bare.value.cells(x[good])])
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n[cell], pa.int64())], names=["cell", "n"])
+
+    got = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(trees * cells, np.int64)
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+    counts = counts.reshape(trees, cells)
+    forest.path = lengths(counts)
+    judges = rows.sparkSession.sparkContext.broadcast((forest, lengths(counts, 1)))
+
+    def judge(batches):
+        forest, without = judges.value
+        for b in batches:
+            x, good = _arrays(b)
+            score = np.concatenate([forest.paths(x[good], without), forest.paths(x[~good])])
+            clean = np.arange(len(score)) < good.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(clean.astype(np.int64)), pa.array((~clean).astype(np.int64))], names=["score", "good", "bad"])
+
+    got = rows.mapInArrow(judge, "score double, good long, bad long").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("score").toArrow()
+    forest.threshold = calibrate(*(got[c].to_numpy() for c in ("score", "good", "bad")))
+    scratch.drop(path)
     return forest
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the rule statistics, base_failed, path_length and kept of every row of docs.
 
     kept is false where base_failed, else whether the mean path length reaches the threshold.
@@ -235,7 +270,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> D
     Repeated rows: a row each.  Empty table: no rows.
     """
     spark = common.ship(docs.sparkSession)
-    at = spark.sparkContext.broadcast(fit(docs, labels, max_rows))
+    scratch = common.Scratch(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text().alias("text"))
+    stats, _ = scratch.save(_measured(texts.withColumn("text_hash", F.xxhash64("text")), "text_hash long"))
+    at = spark.sparkContext.broadcast(fit(stats, labels, scratch))
 
     def run(batches):
         forest = at.value
@@ -247,7 +285,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> D
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in COUNTS), pa.array(failed), pa.array(kept), pa.array(path, pa.float64())], names=["doc_id", *COUNTS, "base_failed", "kept", "path_length"])
 
     schema = f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, path_length double"
-    return _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text().alias("text"))).mapInArrow(run, schema)
+    return stats.mapInArrow(run, schema)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

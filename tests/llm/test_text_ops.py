@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from entitystore.llm import html_extraction, packing, quality_rules, token_counts
@@ -110,6 +112,65 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(nothing(spark), none).count() == 0
 
 
+def plain_paths(rows, good):
+    """Path lengths of all rows, and as judged for the threshold, by walking every tree with all clean rows."""
+    forest = quality_rules.grow(rows.min(0), rows.max(0))
+
+    def path(x, others, f, v):
+        node = 0
+        while node < len(f) and len(others) > 1:
+            right = x[f[node]] > v[node]
+            others = [o for o in others if (o[f[node]] > v[node]) == right]
+            node = 2 * node + 1 + right
+        n, level = len(others), (node + 1).bit_length() - 1
+        return level + (0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n)
+
+    def mean(x, others):
+        return round(sum(path(x, others, f, v) for f, v in zip(forest.feature.tolist(), forest.value.tolist(), strict=True)) / len(forest.feature) * quality_rules.GRID) / quality_rules.GRID
+
+    x = rows.tolist()
+    return [mean(r, [o for o, g in zip(x, good, strict=True) if g]) for r in x], [mean(r, [o for j, (o, g) in enumerate(zip(x, good, strict=True)) if g and j != i]) for i, r in enumerate(x)]
+
+
+def test_quality_rules_forest_by_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = "one two three four five six seven eight nine ten eleven twelve".split()
+
+    def prose(share):
+        return " ".join(rng.choice(vocabulary) + str(rng.random())[2:5] + ("#" if rng.random() < share else "") for _ in range(rng.randrange(12, 40)))
+
+    rows = [(i, prose(0.05 if i < 40 else 0.4)) for i in range(52)]
+    good = [i < 40 for i, _ in rows]
+    labels = spark.createDataFrame([(i, int(g)) for (i, _), g in zip(rows, good, strict=True)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, [*rows, rows[0], rows[41]]), labels).collect()}
+    s = quality_rules.statistics([t.encode() for _, t in rows])
+    assert not quality_rules.base_failed(s).any()
+    paths, judged = plain_paths(quality_rules.features(s), good)
+    assert [got[i].path_length for i, _ in rows] == pytest.approx(paths, abs=1.5 / quality_rules.GRID)
+    order = sorted(set(judged))
+    best = (-1.0, None)
+    for cut in [-math.inf, *((a + b) / 2 for a, b in zip(order, order[1:], strict=False))]:
+        lost = sum(p < cut for p, g in zip(judged, good, strict=True) if g) / 40
+        caught = sum(p < cut for p, g in zip(judged, good, strict=True) if not g) / 12
+        if lost <= 0.002 and caught - lost > best[0]:
+            best = (caught - lost, cut)
+    assert best[0] > 0
+    assert [got[i].kept for i, _ in rows] == [p >= best[1] for p in paths]
+
+
+def test_quality_rules_learn_from_every_label(spark):
+    """Junk is labelled only in the last rows that any draw by a hash of ids, as of 4000 rows, would come to."""
+    rng = random.Random(5)
+    order = [r.id for r in spark.range(4600).orderBy(F.xxhash64("id", F.lit(2)), "id").collect()]
+    junk = set(order[-40:])
+    rows = [(i, " ".join(f"{rng.choice(['lorem', 'ipsum', 'dolor', 'sit'])}{rng.randrange(1000)}" + "###" * (i in junk) for _ in range(14))) for i in order]
+    labels = spark.createDataFrame([(i, int(i not in junk)) for i in order], "doc_id long, quality int")
+    got = quality_rules.quality_rules(docs(spark, rows), labels).collect()
+    assert not any(r.base_failed for r in got)
+    gone = {r.doc_id for r in got if not r.kept}
+    assert junk <= gone and len(gone - junk) <= 0.002 * 4560
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body><header><p>Site</p></header>
 <nav><ul><li><a href=x>Home</a></li></ul></nav><div class="ad">Buy now at once</div><article><h1>A &amp; B</h1><p>First <b>bold</b>
  words&nbsp;here.<p>Lone.</p><!-- no --><div class="comments"><p>Nice one</p></div></article><aside>Side</aside><form>Name</form><footer>&copy; me</foot"""
