@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -30,6 +30,8 @@ PLACES = ("xact", *SLICE)
 OWN = ("_version", "_instance_id")
 #: Rows of a file that a compaction aims at hold so many bytes.
 FILE_BYTES = 128 << 20
+#: Slices that a task writes side by side; only those beyond are sorted first.
+WRITERS = 16
 
 
 class ConsistencyError(RuntimeError):
@@ -322,13 +324,36 @@ class EntityTable:
             self.vacuum(self.retain)
         return number + 1
 
-    def _operations(self) -> tuple[DataFrame, DataFrame | None]:
-        """One row an operation (entity, interval, bucket, version, pos, op, n), and the rows of writes with their pos; pos is the order of operations."""
-        heads, rows = [], []
+    def _told(self) -> list[DataFrame]:
+        """Each call's rows with their interval, kind and pos, the order of operations."""
+        out = []
         for i, (op, interval, _, df) in enumerate(self._pending):
             at = F.col("_at").cast("bigint") if op == "change" else F.lit(0).cast("bigint")
             kind = F.col("_op") if op == "change" else F.lit(op)
-            told = df.withColumns({"interval": F.lit(interval), "_pos": F.struct(F.lit(i).alias("call"), at.alias("at")), "_kind": kind, "_call": F.lit(i)}).drop("_op", "_at", "_ts")
+            out.append(df.withColumns({"interval": F.lit(interval), "_pos": F.struct(F.lit(i).alias("call"), at.alias("at")), "_kind": kind, "_call": F.lit(i)}).drop("_op", "_at", "_ts"))
+        return out
+
+    def _lone(self, heads: DataFrame, seen: list[Row]) -> bool:
+        """Whether all is written, and each entity once a bucket at one version: then no row of this transaction gives way to another.
+
+        What is the same all over each slice differs in no entity; only by what is not, entities are looked at.
+        """
+        slices: dict[tuple, list[Row]] = {}
+        for r in seen:
+            slices.setdefault((r.interval, r.interval_start, r.shard), []).append(r)
+        if any(r.kind != "write" or r.n_version < r.n or r.n_at < r.n for r in seen):
+            return False
+        vary = [c for c in ("call", "at", "version") if any(min(r[f"{c}_min"] for r in x) < max(r[f"{c}_max"] for r in x) for x in slices.values())]
+        if not vary:
+            return True
+        by = ["entity_id", *(["interval", "interval_start"] if len({k[:2] for k in slices}) > 1 else [])]
+        spans = heads.groupBy(*by).agg(*(f(c).alias(f"{c}_{n}") for c in vary for n, f in (("min", F.min), ("max", F.max))))
+        return spans.where(reduce(lambda a, b: a | b, (F.col(f"{c}_min") < F.col(f"{c}_max") for c in vary))).isEmpty()
+
+    def _operations(self) -> tuple[DataFrame, DataFrame | None]:
+        """One row an operation (entity, interval, bucket, version, pos, op, n), and the rows of writes with their pos."""
+        heads, rows = [], []
+        for (op, *_), told in zip(self._pending, self._told(), strict=True):
             heads.append(told.groupBy(F.col(self.key).alias("entity_id"), "interval", "interval_start", "_pos", "_kind").agg(F.max("_version").alias("version")).select("entity_id", "interval", "interval_start", "version", F.col("_pos").alias("pos"), F.col("_kind").alias("op")))
             if op != "delete":
                 rows.append(told.where("_kind = 'write'").drop("_kind"))
@@ -338,13 +363,19 @@ class EntityTable:
         """Writes the new slices of the shards that operations touch; slices by (interval, start, shard), those left empty without a transaction."""
         by = ["entity_id", "interval", "interval_start"]
         ops, rows = self._operations()
-        of = self.strategy(F.col("entity_id")).alias("shard")
+        heads = reduce(DataFrame.unionByName, (t.select(F.col(self.key).alias("entity_id"), "interval", "interval_start", F.col("_kind").alias("kind"), "_pos.call", "_pos.at", F.col("_version").alias("version")) for t in self._told()))
+        spans = (f(c).alias(f"{c}_{n}") for c in ("at", "version") for n, f in (("min", F.min), ("max", F.max)))
+        each = heads.groupBy("interval", "interval_start", self.strategy(F.col("entity_id")).alias("shard"), "kind", "call").agg(F.count("*").alias("n"), F.count("at").alias("n_at"), F.count("version").alias("n_version"), *spans)
+        seen = each.withColumns({"call_min": F.col("call"), "call_max": F.col("call")}).collect()  # a row a slice, kind and call
         touched: dict[tuple, set[str]] = {}
-        for r in ops.select("interval", "interval_start", of, "op", "pos.call").distinct().collect():  # two a slice and call at most
-            touched.setdefault((r[0], r[1], r[2]), set()).update(self._pending[r.call][2] if r.op == "write" else ())
+        for r in seen:
+            touched.setdefault((r[0], r[1], r[2]), set()).update(self._pending[r.call][2] if r.kind == "write" else ())
         here = [old[k] for k in touched if k in old]
         if not here and rows is None:
             return {}
+        if not here and self._lone(heads, seen):
+            out = rows.where(F.col(self.key).isNotNull() & F.col("interval_start").isNotNull()).drop("_pos", "_call")
+            return self._put(out, old, touched, {"_instance_id": F.lit(self._token.target)})
         stored = self._read(here) if here else None
         known = stored.groupBy(F.col(self.key).alias("entity_id"), "interval", "interval_start").agg(F.max("_version").alias("version")) if here else None
         left = fold.live(ops, known, by)
@@ -357,12 +388,17 @@ class EntityTable:
         if here:
             parts.append(stored.drop("shard").join(left.where("pos is null").select(F.col("entity_id").alias(self.key), "interval", "interval_start"), [self.key, "interval", "interval_start"], "left_semi"))
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-        types = {n: t for n, t in out.dtypes if n not in SLICE}
+        types = dict(out.dtypes)
         for s in here:
             for n, t in s["columns"].items():
                 if types.get(n, t) != t:
                     raise TypeError(f"column {n} is {t}, not {types[n]}")
-        self._write(out.withColumns({"xact": F.lit(self._token.target), "shard": self.strategy(F.col(self.key))}), self._token.target)
+        return self._put(out, old, touched)
+
+    def _put(self, out: DataFrame, old: dict, touched: dict, same: dict[str, Column] | None = None) -> dict:
+        """Writes rows of the touched slices; the new slices.  same: columns of one value, which are added behind the shuffle."""
+        types = {n: t for n, t in out.dtypes if n not in SLICE} | {"_instance_id": "string"}
+        self._write(out.withColumn("shard", self.strategy(F.col(self.key))), self._token.target, same)
         made = {}
         for k, columns in touched.items():
             have = self.manifests.children(self._dir(dict(zip(SLICE, k, strict=True)) | {"xact": self._token.target}))
@@ -392,9 +428,16 @@ class EntityTable:
         """Places of the reports that failed commits have left."""
         return [f"{self.path}/_errors/{x}" for x in self.manifests.children(f"{self.path}/_errors")]
 
-    def _write(self, out: DataFrame, xact: str) -> None:
-        """Rows of a slice are split over tasks if they are many."""
-        out.hint("rebalance", *map(F.col, SLICE)).write.mode("append").option("compression", self.compression).partitionBy(*PLACES).parquet(self.path)
+    def _write(self, out: DataFrame, xact: str, same: dict[str, Column] | None = None) -> None:
+        """Rows of a slice are split over tasks if they are many.  A task writes its few slices side by side, so that it need not sort its rows."""
+        dealt = out.hint("rebalance", *map(F.col, SLICE)).withColumns({"xact": F.lit(xact)} | (same or {}))
+        conf, name = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(name)
+        conf.set(name, WRITERS)
+        try:
+            dealt.write.mode("append").option("compression", self.compression).partitionBy(*PLACES).parquet(self.path)
+        finally:
+            conf.set(name, before)
 
     # -- requests -------------------------------------------------------------------------------
 
@@ -478,7 +521,7 @@ class EntityTable:
             return number
         token = new_token(state.get("record", {}), auto=True)
         try:
-            self._write(self._read(here).withColumn("xact", F.lit(token.target)), token.target)
+            self._write(self._read(here), token.target)
             made = [{c: s[c] for c in (*SLICE, "columns")} | {"xact": token.target} for s in here]
             return self._publish(number, state, [s for s in state["slices"] if s not in here] + made, token)
         except Exception:

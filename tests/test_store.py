@@ -248,3 +248,29 @@ def test_shared_folder():
     for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
         with pytest.raises(ValueError, match="checkpoint"):
             shared_dir(session(master))
+
+
+def test_a_write_sorts_no_rows(spark, table):
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return [x for x in (ran.apply(i).physicalPlanDescription() for i in range(ran.size())) if "InsertIntoHadoopFsRelationCommand" in x and table.path in x]
+
+    put(spark, table, *((i, 1, "n", i) for i in range(40)))
+    table.compact("single", "1970-01-01T00:00:00Z")
+    assert len(plans()) == 2 and not any("Sort" in x for x in plans())
+    assert sorted(r.vuln for r in table.scan().collect()) == list(range(40))
+
+
+def test_a_task_writes_more_slices_than_it_keeps_open(spark, tmp_path, monkeypatch):
+    name, opened = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, t = spark.conf.get(name), EntityTable(spark, str(tmp_path), "org1", "t", strategy=lambda c: F.pmod(c, F.lit(7)).cast("int"))
+    monkeypatch.setattr(store, "WRITERS", 2)
+    read = spark.range(70).select(F.col("id").alias("entity_id"), F.lit(1).alias("_version"), F.timestamp_seconds(F.lit(1609459200) + F.col("id") % 5 * 604800).alias("at"))
+    t.begin()
+    t.write(read, "weekly", F.col("at"))
+    put_, t._put = t._put, lambda *a: (put_(*a), opened.append(spark.conf.get(name)))[0]
+    t.commit()
+    assert opened == [before] == [spark.conf.get(name)]
+    got = t.scan().collect()
+    assert sorted(r.entity_id for r in got) == list(range(70)) and len(t.slices()) == 35 and all(r.shard == r.entity_id % 7 for r in got)
