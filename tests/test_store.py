@@ -274,3 +274,57 @@ def test_a_task_writes_more_slices_than_it_keeps_open(spark, tmp_path, monkeypat
     assert opened == [before] == [spark.conf.get(name)]
     got = t.scan().collect()
     assert sorted(r.entity_id for r in got) == list(range(70)) and len(t.slices()) == 35 and all(r.shard == r.entity_id % 7 for r in got)
+
+
+def folded(spark, monkeypatch, fill, base, shards=4):
+    """Rows of a table filled by one commit, whether it was folded, and the plan that was written."""
+    t, calls, plans = EntityTable(spark, str(base), "org1", "t", strategy=lambda c: F.pmod(c, F.lit(shards)).cast("int")), [], []
+    live, write = store.fold.live, t._write
+    monkeypatch.setattr(store.fold, "live", lambda *a: (calls.append(1), live(*a))[1])
+    t._write = lambda out, *a: (plans.append(out._jdf.queryExecution().executedPlan().toString()), write(out, *a))[1]
+    t.begin()
+    fill(t)
+    t.commit()
+    monkeypatch.setattr(store.fold, "live", live)
+    rows = t.scan().drop("_instance_id")
+    return sorted(map(str, rows.select(*sorted(rows.columns)).collect())), bool(calls), "".join(plans)
+
+
+A, B = [(i, 1, "a", i) for i in range(0, 12)], [(i, 1, "b", i) for i in range(12, 24)]
+FILLS = {
+    "one version": (False, [("single", A), ("weekly", A)]),
+    "two calls for other entities": (False, [("single", A), ("single", B)]),
+    "a version a shard": (False, [("single", [(i, i % 4, n, v) for i, _, n, v in A])]),
+    "a version an entity": (False, [("single", [(i, i, n, v) for i, _, n, v in A + A])]),
+    "a null id": (False, [("single", [*A, (None, 1, "n", 1)])]),
+    "two versions of an entity": (True, [("single", [*A, (3, 2, "c", 7)])]),
+    "two calls for an entity": (True, [("single", A), ("single", [*B, (3, 1, "c", 7)])]),
+    "two calls, the first one later": (True, [("single", [(3, 5, "c", 7)]), ("single", A)]),
+    "a null version": (True, [("single", [*A, (3, None, "c", 7)])]),
+    "null versions only": (True, [("single", [(3, None, "c", 7)])]),
+}
+
+
+@pytest.mark.parametrize("name", FILLS)
+def test_only_rivals_are_folded(spark, tmp_path, monkeypatch, name):
+    expected, calls = FILLS[name]
+
+    def fill(t):
+        for interval, rows in calls:
+            t.write(spark.createDataFrame(rows, SCHEMA), interval, TS)
+
+    rows, was, plan = folded(spark, monkeypatch, fill, tmp_path / "a")
+    assert was == expected and (was or not any(x in plan for x in ("Join", "Sort")))
+    monkeypatch.setattr(EntityTable, "_lone", lambda *a: False)
+    assert folded(spark, monkeypatch, fill, tmp_path / "b")[:2] == (rows, True)
+
+
+def test_changes_and_deletes_are_folded(spark, tmp_path, monkeypatch):
+    ops = "entity_id long, _version long, vuln int, op string, position long"
+
+    def of(rows):
+        return folded(spark, monkeypatch, lambda t: t.change(spark.createDataFrame(rows, ops), "single", TS), tmp_path / str(len(rows)))[:2]
+
+    assert of([(1, 1, 1, "write", 0)])[1] is False
+    assert of([(1, 1, 1, "write", 0), (1, 1, 2, "write", 1)]) == (["Row(_version=1, entity_id=1, interval='single', interval_start='1970-01-01T00:00:00Z', shard=1, vuln=2)"], True)
+    assert of([(1, 1, 1, "write", 0), (2, 1, 2, "write", 1), (2, 1, None, "delete", 2)]) == (["Row(_version=1, entity_id=1, interval='single', interval_start='1970-01-01T00:00:00Z', shard=1, vuln=1)"], True)
