@@ -328,3 +328,12 @@ def test_changes_and_deletes_are_folded(spark, tmp_path, monkeypatch):
     assert of([(1, 1, 1, "write", 0)])[1] is False
     assert of([(1, 1, 1, "write", 0), (1, 1, 2, "write", 1)]) == (["Row(_version=1, entity_id=1, interval='single', interval_start='1970-01-01T00:00:00Z', shard=1, vuln=2)"], True)
     assert of([(1, 1, 1, "write", 0), (2, 1, 2, "write", 1), (2, 1, None, "delete", 2)]) == (["Row(_version=1, entity_id=1, interval='single', interval_start='1970-01-01T00:00:00Z', shard=1, vuln=1)"], True)
+
+
+def test_one_shuffle_without_constants(spark, tmp_path, monkeypatch):
+    plans = folded(spark, monkeypatch, lambda t: t.write(spark.createDataFrame(A, SCHEMA), "single", TS), tmp_path)[2]
+    assert "Join" not in plans and "_instance_id" not in plans and "xact" not in plans
+    monkeypatch.undo()
+    t = EntityTable(spark, str(tmp_path), "org1", "t")
+    assert [(r["shard"], r["vuln"]) for r in t.scan_column("vuln").orderBy("vuln").collect()] == [(i % 4, i) for i in range(12)]
+    assert {r[0] for r in t.scan().select("_instance_id").collect()} == {t.slices()[0]["xact"]}
