@@ -337,3 +337,15 @@ def test_one_shuffle_without_constants(spark, tmp_path, monkeypatch):
     t = EntityTable(spark, str(tmp_path), "org1", "t")
     assert [(r["shard"], r["vuln"]) for r in t.scan_column("vuln").orderBy("vuln").collect()] == [(i % 4, i) for i in range(12)]
     assert {r[0] for r in t.scan().select("_instance_id").collect()} == {t.slices()[0]["xact"]}
+
+
+def test_a_column_that_some_shards_have_needs_no_fold(spark, tmp_path, monkeypatch):
+    def fill(t):
+        t.write(spark.createDataFrame(A, SCHEMA).drop("name"), "single", TS)
+        t.write(spark.createDataFrame([(i, 1, "b", i) for i in range(13, 30, 4)], SCHEMA), "single", TS)
+
+    assert folded(spark, monkeypatch, fill, tmp_path)[1] is False
+    monkeypatch.undo()
+    t = EntityTable(spark, str(tmp_path), "org1", "t")
+    assert t.find_shards("single", TS, "name") == [1] and t.find_shards("single", TS, "vuln") == [0, 1, 2, 3]
+    assert sorted(str(r["name"]) for r in t.scan().collect()) == ["None"] * 12 + ["b"] * 5
